@@ -104,7 +104,9 @@ def scan(docs: DataFrame, text: str = "text", id: str = "doc_id", templates: dic
 
     around = lambda w, at: F.slice(w, F.greatest(F.lit(1), at + 1 - longest), 2 * longest + WINDOW + 1)
     near = let(words(text_or_empty(text)), lambda w: F.transform(let(pairs(w), hits), lambda at: around(w, at)))
-    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.explode_outer(near).alias("words"))
+    # a row's number is set before its hits become rows of their own
+    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), near.alias("near"))
+    rows = rows.select("doc_id", "row", F.explode_outer("near").alias("words"))
     near = rows.filter(F.col("words").isNotNull()).select("doc_id", "row", let(F.col("words"), lambda w: shingles(w)).alias("s"))
     each = [F.struct(F.lit(name).alias("license"), (F.size(F.array_intersect(F.array(*map(F.lit, s)), F.col("s"))) / F.lit(len(s))).alias("containment")) for name, s in known]
     found = near.select("doc_id", "row", F.inline(F.array(*each))).filter(F.col("containment") >= least)

@@ -102,7 +102,7 @@ class Machine:
 
         random, both = np.random.default_rng(seed), [self._inputs(*r) for r in rows]
         y = np.array(labels, dtype=np.float32)
-        share = float(y.mean())
+        share = float(y.mean()) if len(y) else 0.0
         if not 0 < share < 1:
             self.bias = 0.0 if not len(y) else 4.0 if share == 1 else -4.0
             self.v[:] = 0
