@@ -163,7 +163,8 @@ def _search(classes: DataFrame, asked: DataFrame, hashes: Hashes, k: int, chance
     many = many.withColumn("parts", F.greatest(F.lit(1), "parts"))
     many = written(many, "groups")
     rows = rows.join(many.filter("parts > 1"), ["t", "g"], "left").withColumn("s", F.pmod(F.col("deal"), F.coalesce("parts", F.lit(1)))).drop("parts", "deal")
-    asks = asked.mapInArrow(ask, "t int, g int, ask long, cells binary, v binary").join(many, ["t", "g"])
+    # a small table of queries would be one task, but finding their cells is work
+    asks = asked.repartition(max(2, 2 * hashes.groups), "ask").mapInArrow(ask, "t int, g int, ask long, cells binary, v binary").join(many, ["t", "g"])
     asks = asks.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
     def compare(left, right):
