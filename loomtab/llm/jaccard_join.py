@@ -6,7 +6,9 @@ two documents that link share one of the first n - ceil(n * least%) + 1 n-grams
 n-grams that are frequent in the corpus last, so common passages make no large tiles.) A document has a
 bitmap of parities: bit i tells whether an odd number of its n-grams hash to i. The bits by which two
 bitmaps differ bound the n-grams that are not common from below, so the overlap from above; only pairs
-that the bound lets pass are compared, by intersecting their sorted arrays of n-gram hashes.
+that the bound lets pass are compared, by intersecting their sorted arrays of n-gram hashes. As a bitmap of
+fixed size says nothing of a long document, those have one of at least two bits an n-gram besides, which is
+folded to the other document's size where they differ; it is joined to the pairs that the fixed one lets pass.
 
 Only what the components need is compared. Equal sets are one node. First each tile's nodes are compared with the
 tile's smallest node; then, in tiles that still hold several components, nodes of different ones. So a
@@ -33,6 +35,8 @@ from .components import components
 WORDS, LEAST = 4, 85
 #: Bits of a bitmap (a multiple of 64).
 BITS = 1024
+#: Sizes from which a document has a bitmap of its own size besides.
+LONG = BITS // 2
 #: N-grams that are put last, at most, by their estimated number of documents; share of a batch's documents that makes one a candidate.
 FREQUENT, SHARE = 100_000, 0.001
 #: Bits of the filter that picks the texts that are read again: 4 MB, whatever the input.
@@ -84,6 +88,24 @@ def needed(n: int, least: int) -> int:
     return n - (least * n + 99) // 100 + 1
 
 
+def parities(z, bits: int):
+    """Bit i tells whether an odd number of the hashes have the rest i; a power of 2."""
+    import numpy as np
+
+    return np.packbits((np.bincount((z & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8))
+
+
+def differing_bits(x: bytes, y: bytes) -> int:
+    """Bits by which two bitmaps differ, the wider one folded to the other's size."""
+    import numpy as np
+
+    x, y = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    while len(y) > len(x):
+        half = len(y) // 2
+        y = y[:half] ^ y[half:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def frequent_grams(docs: DataFrame, words: int, frequent: int = FREQUENT):
     """Hashes of n-grams that stand in many documents, rarest first; at most ``frequent``.
 
@@ -113,7 +135,7 @@ def frequent_grams(docs: DataFrame, words: int, frequent: int = FREQUENT):
 
 
 def features(docs: DataFrame, words: int, least: int, last) -> DataFrame:
-    """(id, n, same, bits, keys) of (id, text): size, digest of the set, bitmap and prefix."""
+    """(id, n, same, bits, wide, keys) of (id, text): size, digest of the set, bitmaps and prefix."""
     import numpy as np
 
     context = docs.sparkSession.sparkContext
@@ -128,13 +150,13 @@ def features(docs: DataFrame, words: int, least: int, last) -> DataFrame:
         sets = of_worker(key, lambda: Sets(words))
         grams, rank = held.value
         for batch in batches:
-            n, same, bits, keys = [], [], [], []
+            n, same, bits, wide, keys = [], [], [], [], []
             for t in batch.column(1):
                 z = sets(t.as_py())
                 n.append(len(z))
                 same.append(xxhash.xxh3_128_digest(z.tobytes()))
-                parity = np.bincount((z & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
-                bits.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
+                bits.append(parities(z, BITS).view(np.int64))
+                wide.append(parities(z, 1 << (2 * len(z) - 1).bit_length()).tobytes() if len(z) >= LONG else None)
                 if len(z):
                     if len(grams):
                         at = np.minimum(np.searchsorted(grams, z), len(grams) - 1)
@@ -147,11 +169,12 @@ def features(docs: DataFrame, words: int, least: int, last) -> DataFrame:
                 {
                     "id": batch.column(0), "n": pa.array(n, pa.int64()), "same": pa.array(same, pa.binary()),
                     "bits": pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (BITS // 64)), pa.array(np.concatenate(bits))),
+                    "wide": pa.array(wide, pa.binary()),
                     "keys": pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(keys))),
                 }
             )
 
-    return docs.mapInArrow(run, "id long, n long, same binary, bits array<long>, keys array<long>")
+    return docs.mapInArrow(run, "id long, n long, same binary, bits array<long>, wide binary, keys array<long>")
 
 
 def may_link(na, nb, a, b, least: int):
@@ -164,6 +187,21 @@ def sizes_allow(na, nb, least: int):
     return least * F.greatest(na, nb) <= 100 * F.least(na, nb)
 
 
+def wide_allows(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
+    """The pairs (a, b) without those whose wide bitmaps rule out a link; pairs with a short document stay."""
+
+    @F.pandas_udf("boolean")
+    def allowed(total, a, b):
+        import pandas as pd
+
+        return pd.Series([x is None or y is None or (100 + least) * (n - differing_bits(x, y)) >= 2 * least * n for n, x, y in zip(total, a, b)], dtype=bool)
+
+    long = nodes.filter(F.col("n") >= LONG)
+    sides = [long.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}")) for x in "ab"]
+    total = F.coalesce(F.col("na") + F.col("nb"), F.lit(0).cast("long"))
+    return pairs.join(sides[0], "a", "left").join(sides[1], "b", "left").filter(allowed(total, "wa", "wb")).select("a", "b")
+
+
 def linked(pairs: DataFrame, docs: DataFrame, words: int, least: int) -> DataFrame:
     """The pairs (a, b) of ids that link, by their sets. Only texts of these ids, and few others, are turned into sets again."""
     import numpy as np
@@ -229,7 +267,7 @@ def similar_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", word
     first = first.filter(sizes_allow(F.col("na"), F.col("nb"), least)).select("a", "b").distinct()
     sides = [marks.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"m{x}")) for x in "ab"]
     first = first.join(sides[0], "a").join(sides[1], "b").filter(may_link(F.col("na"), F.col("nb"), F.col("ma"), F.col("mb"), least)).select("a", "b")
-    first = written(first, "pairs")
+    first = written(wide_allows(first, one, least), "pairs")
     links = linked(first, rows, words, least)
     label = components(links)
     # tiles that still hold several components
@@ -241,7 +279,7 @@ def similar_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", word
     at = (F.col("x.key") == F.col("y.key")) & (F.col("x.tile") == F.col("y.tile")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
     at &= F.col("x.tile") == F.greatest("x.band", "y.band")
     second = x.join(y, at & may_link(F.col("x.n"), F.col("y.n"), F.col("x.bits"), F.col("y.bits"), least)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    second = written(second.join(first, ["a", "b"], "left_anti"), "more")
+    second = written(wide_allows(second.join(first, ["a", "b"], "left_anti"), one, least), "more")
     if not second.isEmpty():
         links = links.unionByName(linked(second, rows, words, least))
         label = components(links)

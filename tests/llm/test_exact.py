@@ -69,8 +69,23 @@ def test_mixing(spark, docs, empty):
     assert mixing.mixture(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
-def test_jaccard_join(docs, empty):
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
+def test_bitmaps_of_long_documents():
+    import numpy as np
+
+    x, y = (np.unique(np.random.default_rng(k).integers(0, 2**63, 3000, dtype=np.uint64)) for k in (1, 2))
+    for one, two in ((x, x), (x, y), (x, x[:1500]), (x, np.union1d(x, y[:100]))):
+        bits = [jaccard_join.parities(z, 1 << (2 * len(z) - 1).bit_length()).tobytes() for z in (one, two)]
+        differing = jaccard_join.differing_bits(*bits)
+        assert differing == jaccard_join.differing_bits(*bits[::-1]) <= len(np.setxor1d(one, two)) and (differing > 0) == (one is not two)
+    assert jaccard_join.differing_bits(jaccard_join.parities(x, 8192).tobytes(), jaccard_join.parities(x, 1024).tobytes()) == 0
+
+
+def test_jaccard_join(spark, docs, empty):
+    # long documents on both sides of the limits, of sizes whose bitmaps differ in width
+    long = [f"v{i}" for i in range(2100)]
+    near = [" ".join(long[: len(long) - k] + [f"u{j}" for j in range(u)]) for k, u in ((0, 0), (100, 100), (150, 150), (170, 170), (240, 240), (400, 0), (300, 0), (0, 330), (900, 900))]
+    both_kinds = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(100 + i, t) for i, t in enumerate(near)], "doc_id long, text string"))
+    rows = [(r.doc_id, r.text) for r in both_kinds.collect()]
     for words, least in ((4, 85), (5, 80)):
         sets = {}
         for i, t in rows:
@@ -83,7 +98,7 @@ def test_jaccard_join(docs, empty):
                     both = len(sets[a] & sets[b])
                     if sets[a] and sets[b] and 100 * both >= least * (len(sets[a]) + len(sets[b]) - both):
                         label[a] = label[b] = min(label[a], label[b])
-        got = jaccard_join.similar_groups(docs, words=words, least=least).collect()
+        got = jaccard_join.similar_groups(both_kinds, words=words, least=least).collect()
         assert len(got) == len(rows) and all((r.n_shingles, r.component_id) == (len(sets[r.doc_id]), label[r.doc_id]) for r in got)
     kept = jaccard_join.keep_one_of_each(docs)
     assert kept.columns == docs.columns
