@@ -3,7 +3,7 @@
 A text's words (runs of letters and digits, lower case) give pairs of neighbours; WINDOW pairs make a
 window, and one starts at every STEP-th pair. A template is cut into chunks of at most CHUNK pairs, so a
 chunk that stands in a text lies whole in some window, with at least half of the window's pairs (a
-template's shortest chunk has WINDOW / 2). Each of BANDS bands is one MinHash, so a window meets such a
+template's shortest chunk has WINDOW / 2). Each of BANDS bands is one MinHash with a hash function of its own, so a window meets such a
 chunk in some band with probability 1 - (1 - 1/2)^BANDS: 0.999 and more for 10. For each
 window that meets a chunk, the words around it are compared with the templates exactly: a template is
 found if at least ``least`` of its shingles of five words stand there.
@@ -11,7 +11,7 @@ found if at least ``least`` of its shingles of five words stand there.
 Rows: a null text, or one without words, has no result; a template that stands in a text several times
 gives one row with the number of windows; of equal rows each gives its own; an empty table gives an empty result.
 
-Plan: one scan, no shuffle of texts. Bands are sets of constants (the templates are a fixed list), so
+Plan: one scan, no shuffle of texts. Bands are sets of minima (the templates are a fixed list), so
 windows are tested inside the projection, and only the words around a hit are carried further.
 """
 
@@ -59,35 +59,26 @@ def shingles(w: Column, n: int = SHINGLE) -> Column:
     return F.when(F.size(w) < n, F.array().cast("array<bigint>")).otherwise(F.array_distinct(some))
 
 
-def _constants(n: int) -> list[int]:
-    """Constants of the bands' hash functions, hash xor constant."""
-    x, out = 0x9E3779B97F4A7C15, []
-    for _ in range(n):
-        x = (x * 6364136223846793005 + 1442695040888963407) % 2**64
-        out.append((x ^ x >> 29) % 2**63)
-    return out
-
-
-def minhash(hashes: Column, constant: int) -> Column:
-    return F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(F.lit(constant))))
+def banded(hashes: Column, band: int) -> Column:
+    """The hashes by the band's own hash function, independent of the other bands'."""
+    return F.transform(hashes, lambda h: F.xxhash64(h, F.lit(band)))
 
 
 def compiled(spark: SparkSession, templates: dict = TEMPLATES, bands: int = BANDS) -> tuple[list[tuple], list[list[int]], int]:
     """(name, shingles) of each template, the values of each band over all chunks, and the most words of a template."""
     rows = [(name, notice) for name, notices in templates.items() for notice in notices]
     df = spark.createDataFrame(rows, "name string, notice string").withColumn("w", words(F.col("notice")))
-    found = df.select("name", "w", pairs(F.col("w")).alias("p"), shingles(F.col("w")).alias("s")).collect()
-    short = [r["name"] for r in found if len(r["p"]) < WINDOW // 2]
+    found = df.select("name", "w", F.array(*[banded(pairs(F.col("w")), band) for band in range(bands)]).alias("p"), shingles(F.col("w")).alias("s")).collect()
+    short = [r["name"] for r in found if len(r["w"]) <= WINDOW // 2]
     if short:
         raise ValueError(f"templates of fewer than {WINDOW // 2 + 1} words: {short}")
-    signed = lambda x: x if x < 2**63 else x - 2**64
     values: list[list[int]] = []
-    for c in _constants(bands):
+    for band in range(bands):
         of = set()
         for r in found:
-            p = r["p"]
+            p = r["p"][band]
             for start in sorted({*range(0, max(1, len(p) - CHUNK + 1), CHUNK), max(0, len(p) - CHUNK)}):
-                of.add(min(signed(h ^ c) for h in p[start : start + CHUNK]))
+                of.add(min(p[start : start + CHUNK]))
         values.append(sorted(of))
     return [(r["name"], r["s"]) for r in found], values, max(len(r["w"]) for r in found)
 
@@ -96,7 +87,7 @@ def scan(docs: DataFrame, text: str = "text", id: str = "doc_id", templates: dic
     """doc_id, license, containment, n_windows: a row for each license that a document states."""
     known, values, longest = compiled(docs.sparkSession, templates, bands)
     def meets(p, at):
-        return let(F.slice(p, at + 1, WINDOW), lambda window: functools.reduce(operator.or_, [minhash(window, c).isin(v) for c, v in zip(_constants(bands), values)]))
+        return let(F.slice(p, at + 1, WINDOW), lambda window: functools.reduce(operator.or_, [F.array_min(banded(window, band)).isin(v) for band, v in enumerate(values)]))
 
     def hits(p):
         starts = F.when(F.size(p) > 0, F.sequence(F.lit(0), F.size(p) - 1, F.lit(STEP)))

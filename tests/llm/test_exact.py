@@ -200,6 +200,23 @@ def test_license_scan(spark, docs, empty):
     assert license_scan.scan(docs).count() == 0 and license_scan.scan(empty).count() == 0
 
 
+def test_license_scan_in_random_surroundings(spark):
+    import random
+
+    random.seed(2)
+    rows, want = [], {}
+    for name, notices in license_scan.TEMPLATES.items():
+        for notice in notices:
+            for k in range(400):
+                before, after = ([f"w{random.randrange(5000)}" for _ in range(n)] for n in (8 + k % 8, 16))
+                want[len(rows)] = (name, notice)
+                rows.append((len(rows), " ".join([*before, notice, *after])))
+    found = {(r.doc_id, r.license) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).filter("containment = 1").collect()}
+    for notice in [n for notices in license_scan.TEMPLATES.values() for n in notices]:
+        mine = [(i, name) for i, (name, n) in want.items() if n == notice]
+        assert sum(x in found for x in mine) >= 0.995 * len(mine), notice
+
+
 def test_language_and_quality(spark, docs, empty):
     import public_tokenizers as P
 
