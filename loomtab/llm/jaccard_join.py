@@ -207,7 +207,8 @@ def linked(pairs: DataFrame, docs: DataFrame, words: int, least: int) -> DataFra
     import numpy as np
 
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    place = lambda id: F.pmod(F.xxhash64(id), F.lit(FILTER))
+    # from 1 on: bitmap buckets start at 1, but that of 0 is 0
+    place = lambda id: F.pmod(F.xxhash64(id), F.lit(FILTER)) + 1
     marks = ids.select(place("id").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
     bits = np.zeros(FILTER // 8 + 4096, np.uint8)
     for r in marks.toLocalIterator():

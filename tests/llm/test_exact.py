@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomtab.llm import byte_bpe, exact_dedup, jaccard_join, language_id, license_scan, mixing, neighbours, personal_data, quality, token_counts
 
@@ -105,6 +106,13 @@ def test_jaccard_join(spark, docs, empty):
     assert jaccard_join.similar_groups(empty).count() == 0
 
 
+def test_jaccard_join_of_an_id_whose_hash_is_0(spark):
+    text = " ".join(f"v{i}" for i in range(60))
+    docs = spark.createDataFrame([(25317696, text), (25317697, text + " end"), (5, "something else that is here alone")], "doc_id long, text string")
+    assert docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(jaccard_join.FILTER)) == 0).count() == 1
+    assert {r.doc_id: r.component_id for r in jaccard_join.similar_groups(docs).collect()} == {25317696: 25317696, 25317697: 25317696, 5: 5}
+
+
 def test_byte_bpe(docs, empty):
     import public_tokenizers as P
     import tiktoken
