@@ -37,8 +37,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in target proportions; documents of small, heavy sources stand twice."""
-    return mixing.mix(docs)
+    """Sources in target proportions; documents of small, heavy sources stand twice, and all stand whole."""
+    return mixing.mix(docs, whole=True)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -112,21 +112,24 @@ def first_words(text, k):
     return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, k), "")
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", id: str = "doc_id", n_chars: str = "n_chars", **options) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", source: str = "source", id: str = "doc_id", n_chars: str = "n_chars", whole: bool = False, **options) -> DataFrame:
     """The mixed documents with the columns of the input, in serving order.
 
     A document that is taken more than once stands once for each pass; the one that is in service when
     the budget is reached is cut after its last word taken (and ``n_chars``, if there is such a column,
-    is that of the cut text).
+    is that of the cut text). With ``whole`` its service is finished instead: it is taken uncut, so no text
+    changes, none that has started is lost, and a source exceeds its target by less than one document.
     """
     rows, n = prepared(docs, text, source, id)
     sizes = written(rows.select(F.col(n["key"]).alias("key"), F.col(n["id"]).alias("id"), F.col(n["words"]).alias("words")), "sizes")
     rows = served(rows, n, sizes=sizes, **options).filter(F.col(n["taken"]) > 0)
+    order = [F.asc_nulls_last(n["finish"]), F.asc(n["id"])]
+    if whole:
+        return rows.orderBy(*order).select(*[F.col(f"`{c}`") for c in docs.columns])
     cut = F.col(n["taken"]) < F.col(n["words"])
     changed = {text: F.when(cut, first_words(F.col(text), F.col(n["taken"]).cast("int"))).otherwise(F.col(text))}
     if n_chars in docs.columns:
         changed[n_chars] = F.when(cut, F.length(changed[text]).cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars))
-    order = [F.asc_nulls_last(n["finish"]), F.asc(n["id"])]
     return rows.orderBy(*order).select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 

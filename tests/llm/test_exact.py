@@ -70,6 +70,25 @@ def test_mixing(spark, docs, empty):
     assert mixing.mixture(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
+def test_pipeline_mixes_whole_documents(spark, docs, empty):
+    from collections import Counter
+
+    import corpus_pipeline
+
+    for some in (docs, spark.read.parquet("/root/testdata/sf0.001/documents.parquet")):
+        key = lambda r: (r.doc_id, r.source, r.text, r.n_chars)
+        there, mixed = Counter(map(key, some.collect())), corpus_pipeline.mixed(spark, some, "").collect()
+        stands = Counter(map(key, mixed))
+        assert all(stands[k] <= 2 * there[k] for k in stands)
+        taken = {}
+        for r in mixing.mixture(some).collect():
+            taken[r.doc_id] = taken.get(r.doc_id, 0) + r.taken
+        for k, n in there.items():
+            size = len(WORDS.findall(k[2] or ""))
+            assert size == 0 or stands[k] == -(-taken[k[0]] // size)
+    assert corpus_pipeline.mixed(spark, empty, "").count() == 0
+
+
 def test_bitmaps_of_long_documents():
     import numpy as np
 
