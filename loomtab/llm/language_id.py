@@ -28,6 +28,8 @@ from ._shared import BoundedCache, documents, of_worker, splitter, worker_key
 ROWS, LANGUAGES, WORDS = 1500, 400, 15_000
 #: Rounds of expectation maximisation, and what is added to each piece's expected count.
 ROUNDS, ADDED = 4, 0.05
+#: Times its language's usual (negative) log probability a letter from which a text is strange: letter junk, another language.
+STRANGE = 3.0
 #: Probability of an unknown letter.
 UNKNOWN = 1e-7
 #: Words up to so many letters are scored together; longer ones one by one.
@@ -222,13 +224,26 @@ def training_words(docs: DataFrame, text: str, lang: str, id: str, rows: int = R
     return out, sizes
 
 
+def usual(lattice: Lattice, counted: dict[str, dict[str, int]], probability):
+    """Each language's log probability a letter (a word's start counts as one) over the words that it was learned from."""
+    import numpy as np
+
+    out = np.full(len(counted), -np.inf)
+    for k, words in enumerate(counted.values()):
+        if words:
+            n = np.array(list(words.values()), dtype=float)
+            letters = n @ np.array([len(w) + 1 for w in words])
+            out[k] = n @ log_probabilities(lattice, list(words), probability[:, [k]])[:, 0] / letters
+    return out
+
+
 class Scorer:
-    def __init__(self, pieces: list[str], probability, names: list[str], prior, remembered: int = REMEMBERED):
-        self.lattice, self.probability, self.names, self.prior = Lattice(pieces), probability, names, prior
+    def __init__(self, pieces: list[str], probability, names: list[str], prior, usual, remembered: int = REMEMBERED):
+        self.lattice, self.probability, self.names, self.prior, self.usual = Lattice(pieces), probability, names, prior, usual
         self.words, self.known = letters(), BoundedCache(remembered)
 
     def scores(self, text: str):
-        """Log score for each language, or None for a text without letters."""
+        """Log score for each language, and the letters with the words' starts; or None for a text without letters."""
         import numpy as np
 
         words = self.words(text)
@@ -244,29 +259,33 @@ class Scorer:
                 if len(w) <= TOGETHER:
                     self.known.keep(w, r)
             rows = [r or found[w] for w, r in zip(words, rows)]
-        return np.frombuffer(b"".join(rows)).reshape(len(rows), -1).sum(axis=0) + self.prior
-
-    def predict(self, text: str) -> tuple[str, float]:
-        s = self.scores(text)
-        if s is None:
-            return "und", 0.0
+        return np.frombuffer(b"".join(rows)).reshape(len(rows), -1).sum(axis=0) + self.prior, sum(map(len, words)) + len(words)
+
+    def predict(self, text: str) -> tuple[str, float, float]:
+        """Language, posterior, and how many times the language's usual log probability a letter the text's is."""
+        found = self.scores(text)
+        if found is None:
+            return "und", 0.0, 0.0
+        s, letters = found
         best = int(s.argmax())
-        return self.names[best], float(1 / sum(math.exp(max(-700.0, x - s[best])) for x in s))
+        strange = (s[best] - self.prior[best]) / letters / self.usual[best]
+        return self.names[best], float(1 / sum(math.exp(max(-700.0, x - s[best])) for x in s)), float(strange)
 
 
 def train(docs: DataFrame, vocab_path: str, text: str = "text", lang: str = "lang", id: str = "doc_id", rows: int = ROWS, words: int = WORDS):
-    """(pieces, probability, names, prior): what a Scorer takes."""
+    """(pieces, probability, names, prior, usual): what a Scorer takes."""
     import numpy as np
 
     counted, sizes = training_words(docs, text, lang, id, rows, words)
     pieces = vocabulary(vocab_path)
-    probability = fit(Lattice(pieces), counted)
+    lattice = Lattice(pieces)
+    probability = fit(lattice, counted)
     prior = np.log(np.array([sizes[k] for k in counted], dtype=float) / max(1, sum(sizes.values()))) if counted else np.zeros(0)
-    return pieces, probability, list(counted), prior
+    return pieces, probability, list(counted), prior, usual(lattice, counted, probability)
 
 
 def identify(docs: DataFrame, vocab_path: str, text: str = "text", lang: str = "lang", id: str = "doc_id", keep: list[str] | None = None, model=None) -> DataFrame:
-    """doc_id, held_out, lang_pred, score; or the columns ``keep`` with lang_pred and score in front."""
+    """doc_id, held_out, lang_pred, score; or the columns ``keep`` with lang_pred, score and strange in front."""
     from pyspark.sql import types as T
 
     key = worker_key("language_id")
@@ -278,21 +297,27 @@ def identify(docs: DataFrame, vocab_path: str, text: str = "text", lang: str = "
         scorer = of_worker(key, lambda: Scorer(*held.value))
         for batch in batches:
             found = [scorer.predict(t.as_py() or "") for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), *batch.columns[1:]], names=out.names)
+            front = [pa.array([x[0] for x in found], pa.string()), *[pa.array([x[k] for x in found], pa.float64()) for k in (1, 2)]]
+            yield pa.RecordBatch.from_arrays([*front, *batch.columns[1:]], names=made.names)
 
     rest = [F.col(id).cast("long").alias("doc_id"), F.coalesce(held_out(F.col(id)), F.lit(False)).alias("held_out")] if keep is None else [F.col(f"`{c}`") for c in keep]
     some = docs.select(F.col(text).alias("text_"), *rest)
-    out = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *some.schema.fields[1:]])
-    return some.mapInArrow(run, out)
+    made = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("strange", T.DoubleType()), *some.schema.fields[1:]])
+    out = some.mapInArrow(run, made)
+    return out.drop("strange") if keep is None else out
 
 
-def keep_identified(docs: DataFrame, vocab_path: str, text: str = "text", lang: str = "lang", id: str = "doc_id", least: float = 0.5) -> DataFrame:
-    """The documents with a predicted language of probability ``least`` at least; those without letters go."""
+def keep_identified(docs: DataFrame, vocab_path: str, text: str = "text", lang: str = "lang", id: str = "doc_id", least: float = 0.5, strange: float = STRANGE) -> DataFrame:
+    """The documents with a predicted language of probability ``least`` at least; those without letters go.
+
+    So do those that are ``strange`` times as unlikely a letter as the words of that language (in logarithms) or more,
+    since the probability only compares the learned languages, and is near 1 for letter junk and for any other language too.
+    """
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
     of = dict(zip(docs.columns, names))
     found = identify(plain, vocab_path, of[text], of[lang], of[id], keep=names)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*names).toDF(*docs.columns)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least) & (F.col("strange") < strange)).select(*names).toDF(*docs.columns)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str, vocab: str = "piece_bpe_32k.model") -> DataFrame:

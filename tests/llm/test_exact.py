@@ -264,6 +264,20 @@ def test_language_and_quality(spark, docs, empty):
     assert all(0 <= r.score <= 1 for r in quality.classify(docs, labels.limit(0)).collect()) and quality.classify(empty, labels.limit(0)).count() == 0
 
 
+def test_pipeline_rejects_strange_texts(spark):
+    import corpus_pipeline
+
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    strange = ["xkqz vbnw qqpl zzkr mnbv wrtx plkj hgfd qwsx zxcv", "Всем привет это текст на русском языке который никто не учил", "Ez egy magyar nyelvű szöveg, amelyet senki sem tanult meg még soha"]
+    usual = ["the house is near the river and the people live there"]
+    more = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(usual + strange)], "doc_id long, text string")
+    for some in (real, real.filter("lang = 'en'")):
+        docs = some.unionByName(more, allowMissingColumns=True)
+        kept = {r.doc_id for r in corpus_pipeline.known_language(spark, docs, "").select("doc_id").collect()}
+        assert {i for i in kept if i < 0} == {-1}
+        assert {i for i in kept if i >= 0} == {r.doc_id for r in some.filter(r"text rlike '\\p{L}'").collect()}
+
+
 def test_forward_sums_all_segmentations():
     import itertools
 
