@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ._shared import BoundedCache, documents, of_worker, splitter, worker_key
 
-#: Rows of a language to learn from, about; languages to learn, the most frequent ones; words of a language to fit.
-ROWS, LANGUAGES, WORDS = 1500, 400, 15_000
+#: Rows of a language to learn from, about; words of a language to fit.
+ROWS, WORDS = 1500, 15_000
 #: Rounds of expectation maximisation, and what is added to each piece's expected count.
 ROUNDS, ADDED = 4, 0.05
 #: Times its language's usual (negative) log probability a letter from which a text is strange: letter junk, another language.
@@ -191,17 +191,17 @@ def held_out(id):
 def training_words(docs: DataFrame, text: str, lang: str, id: str, rows: int = ROWS, words: int = WORDS) -> tuple[dict[str, dict[str, int]], dict[str, int]]:
     """Word counts of each language's sample, and the number of labelled rows of each language.
 
-    The rows are counted over the whole table; a language's sample takes each of its rows with a
+    The rows are counted over the whole table, and every language is learned; a language's sample takes each of its rows with a
     chance, by a hash of the id, that makes about ``rows`` of them.
     """
     may = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~F.coalesce(held_out(F.col(id)), F.lit(False)))
     may = may.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.col(id).alias("id"))
-    sizes = {r["lang"]: r["n"] for r in may.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in may.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return {}, {}
-    chance = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, rows / n))])
+    chances = docs.sparkSession.createDataFrame([(name, min(1.0, rows / n)) for name, n in sizes.items()], "lang string, chance double")
     draw = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    sample = may.filter(draw < F.coalesce(chance[F.col("lang")], F.lit(0.0)))
+    sample = may.join(F.broadcast(chances), "lang").filter(draw < F.col("chance"))
 
     def count(batches):
         from collections import Counter

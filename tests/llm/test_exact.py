@@ -264,6 +264,14 @@ def test_language_and_quality(spark, docs, empty):
     assert all(0 <= r.score <= 1 for r in quality.classify(docs, labels.limit(0)).collect()) and quality.classify(empty, labels.limit(0)).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    names = [f"l{i:03}" for i in range(450)]
+    docs = spark.createDataFrame([(i, f"word{i} {n}", n) for i, n in enumerate(names * 2)], "doc_id long, text string, lang string")
+    counted, sizes = language_id.training_words(docs, "text", "lang", "doc_id")
+    want = {r.lang: r.n for r in docs.filter(~language_id.held_out(F.col("doc_id"))).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    assert len(want) > 400 and sizes == want and set(counted) == set(want) and all(counted.values())
+
+
 def test_pipeline_rejects_strange_texts(spark):
     import corpus_pipeline
 
