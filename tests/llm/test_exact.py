@@ -320,3 +320,57 @@ def test_pipeline(spark):
     out = corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001")
     assert out.count() == docs.count()
     assert {r.decoded_sha256 for r in out.collect()} == {hashlib.sha256(r.text.encode()).hexdigest() for r in docs.collect()}
+
+
+def test_pipeline_against_brute_force(spark):
+    from collections import Counter
+
+    import corpus_pipeline
+    import public_tokenizers as P
+    import tiktoken
+
+    data = "/root/testdata/sf0.001"
+    made, docs = [], spark.read.parquet(f"{data}/documents.parquet")
+    rows = docs.collect()
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, data).cache()
+        made.append(docs.collect())
+    ids = lambda some: sorted(r.doc_id for r in some)
+    rows = [r for r in rows if re.search(r"[^\W\d_]", r.text or "")]
+    assert ids(made[0]) == ids(rows)
+    best: dict = {}
+    for r in sorted(rows, key=lambda r: (-len(r.text), r.doc_id)):
+        best.setdefault(re.sub(r"[\x20\x09-\x0D]", "", r.text), r)
+    rows = list(best.values())
+    assert ids(made[1]) == ids(rows)
+    sets = {}
+    for r in rows:
+        w = WORDS.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r.text))
+        sets[r.doc_id] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    label = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    rows = [r for r in rows if label[r.doc_id] == r.doc_id]
+    assert ids(made[2]) == ids(rows)
+    # each source's target by filling up; the document in service is finished
+    size = {r.doc_id: len(WORDS.findall(r.text)) for r in rows}
+    total: Counter = Counter()
+    for r in rows:
+        total[r.source] += size[r.doc_id]
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(sorted(total, key=lambda s: (s is None, s or "")))}
+    target, budget = {}, 1.5 * sum(total.values())
+    while len(target) < len(total):
+        level = (budget - sum(target.values())) / sum(weight[s] for s in total if s not in target)
+        full = [s for s in total if s not in target and level * weight[s] > 2 * total[s]]
+        target |= {s: 2 * total[s] for s in full} if full else {s: level * weight[s] for s in total if s not in target}
+    text = {r.doc_id: r for r in rows}
+    assert all(tuple(r) == tuple(text[r.doc_id]) for r in made[3]) and max(Counter(ids(made[3])).values()) <= 2
+    for s in total:
+        mine = [size[r.doc_id] for r in made[3] if r.source == s]
+        assert -1 <= sum(mine) - target[s] < max(size[r.doc_id] for r in rows if r.source == s)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    want = {i: library.encode_ordinary(r.text) for i, r in text.items()}
+    out = corpus_pipeline.run(spark, data).collect()
+    assert ids(out) == ids(made[3]) and all(r.ids == want[r.doc_id] and r.n_tokens == len(r.ids) for r in out)
