@@ -8,9 +8,10 @@ task keep a bounded Misra-Gries summary of its pre-tokens, and only these summar
 The table holds FREQUENT pre-tokens of at most LONGEST characters: 3 MB at most. It saves work and
 decides no result.
 
-A text goes to the library as a whole where splitting it here is not certain to agree: if it holds a
-string of a special token (which the library's default takes for that token), or a character from
-U+0250 on (where normal forms and case rules come in). A null text counts as empty; an empty text has
+A word (between the six characters of white space, which no token, normal form or special string spans)
+is not split here where that is not certain to agree: if it holds a string of a special token (which the
+library's default takes for that token), or a character from U+0250 on (where normal forms and case rules
+come in). It is looked up in tier two as it is; the rest of its text goes through both tiers. A null text counts as empty; an empty text has
 0 bytes and 0 tokens; repeated rows give repeated results; an empty table gives an empty result.
 """
 
@@ -20,7 +21,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._shared import BoundedCache, documents, of_worker, splitter, worker_key
+from ._shared import WORD, BoundedCache, documents, of_worker, splitter, worker_key
 
 #: Entries of the broadcast table, and characters of its longest.
 FREQUENT, LONGEST = 50_000, 32
@@ -49,15 +50,19 @@ class Lengths:
         self.splits, self.frequent, self.known = splitter(GENERAL, QUICK), frequent, BoundedCache(remembered)
         special = [re.escape(t["content"]) for t in json.loads(file)["added_tokens"]]
         self.by_library = re.compile("|".join([*special, "[^\\x00-\\u024f]"])).search
+        self.words = re.compile(WORD).findall
 
     def pieces(self, text: str):
         lower = text.lower()
         return self.splits(lower).findall(lower)
 
     def __call__(self, text: str) -> int:
-        if self.by_library(text):
-            return len(self.library.encode(text, add_special_tokens=False).ids)
         total = 0
+        if self.by_library(text):
+            whole, rest = [], []
+            for word in self.words(text):
+                (whole if self.by_library(word) else rest).append(word)
+            total, text = self._count(whole), " ".join(rest)
         for start, stop in stretches(text):
             total += self._count(self.pieces(text[start:stop]))
         return total

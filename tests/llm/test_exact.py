@@ -165,6 +165,24 @@ def test_token_counts(spark, docs, empty):
     assert token_counts.count_tokens(empty, P.path("word_bpe_49k.json")).count() == 0
 
 
+def test_token_counts_look_up_around_other_characters():
+    import random
+
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        lengths = token_counts.Lengths(f.read(), {})
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    random.seed(6)
+    some = ["the", "It’s", "don't", "“quoted”", "—", "東京", "😀", "Σας'LL", "é", "e", "\u0301", "\u0338", "\u3000", "\xa0", "\x85", "\x1c", "İ", "<|endoftext|>", "<|EndOfText|>", "12", "ﬁ", "ß", "\u200b", "\u2028", "가", "\u11a8"]
+    for _ in range(5000):
+        text = "".join(random.choice(some) + random.choice(["", " ", "\n", "\t ", "\x0b"]) for _ in range(random.randrange(12)))
+        assert lengths(text) == len(library.encode(text, add_special_tokens=False).ids), repr(text)
+    lengths("a curly “quote” among plainwords")
+    assert "plainwords" in lengths.known and "“quote”" in lengths.known
+
+
 def test_personal_data(spark, docs, empty):
     text = "é a.b@c.com x@y 10.0.0.1 300.1.1.1 is 4111 1111 1111 1111 or +1 (499) 555-6503 later 1-499-555-6503"
     rows = spark.createDataFrame([(1, text), (2, None), (3, "a" * 30_000 + " 1" * 20_000)], "doc_id long, text string")
