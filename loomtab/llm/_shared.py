@@ -47,31 +47,69 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: Rows that go to a Python worker at once, unless the session says otherwise.
+BATCH = 1000
+
+
+def batched(spark: SparkSession) -> None:
+    """Keeps what the JVM and a Python worker hold of whole texts at once small.
+
+    Sets the session's number of rows in an Arrow batch, if none is set: it is read when a query runs, not when it is made.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH))
+
+
+#: Characters of texts that are split into pieces at once.
+TOGETHER = 1 << 18
+
+
+def groups(texts):
+    """Lists of consecutive texts of TOGETHER characters at most, or of one longer text."""
+    some, held = [], 0
+    for t in texts:
+        if some and held + len(t) > TOGETHER:
+            yield some
+            some, held = [], 0
+        some.append(t)
+        held += len(t)
+    if some:
+        yield some
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+#: Bytes that an entry of a cache takes besides those of its strings.
+ENTRY = 200
+
+
 class BoundedCache(dict):
     """Worker-side memo of two generations: what is asked for again outlives what was met once.
 
-    ``get`` sees the young generation; a miss goes through ``older``. At most twice ``most`` entries.
+    ``get`` sees the young generation; a miss goes through ``older``. The entries of a generation take at most
+    ``most`` bytes; what is kept comes with the length of its strings.
     """
 
     def __init__(self, most: int):
         super().__init__()
-        self.most, self.old = most, {}
+        self.most, self.held, self.old = most, 0, {}
 
     def older(self, key):
         """The value that the older generation has for the key (now young again), or None."""
         value = self.old.get(key)
         if value is not None:
-            self.keep(key, value)
+            self.keep(key, value, 64)
         return value
 
-    def keep(self, key, value) -> None:
-        if len(self) >= self.most:
+    def keep(self, key, value, length: int = 0) -> None:
+        self.held += ENTRY + length
+        if self.held > self.most:
             self.old = dict(self)
             self.clear()
+            self.held = ENTRY
         self[key] = value
 
 
@@ -109,19 +147,31 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-_of_worker: dict = {}
+#: The one thing that a Python worker keeps from task to task: its key and what it is.
+_of_worker: list = [None, None]
 
 
 def of_worker(key: str, make):
     """What ``make`` returns, made once in each Python worker for a key and kept from task to task.
 
-    Only the latest key of each kind (the part before ``:``) is kept.
+    Only the latest is kept: a worker that goes on to another operator's tasks drops what the last one left.
     """
-    if key not in _of_worker:
-        for old in [k for k in _of_worker if k.split(":")[0] == key.split(":")[0]]:
-            del _of_worker[old]
-        _of_worker[key] = make()
-    return _of_worker[key]
+    if _of_worker[0] != key:
+        _of_worker[:] = None, None
+        give_back()
+        _of_worker[:] = key, make()
+    return _of_worker[1]
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def worker_key(kind: str) -> str:

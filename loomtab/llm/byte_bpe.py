@@ -20,14 +20,14 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
-from itertools import islice
+from itertools import chain, islice
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ._shared import BoundedCache, documents, of_worker, splitter, worker_key
+from ._shared import TOGETHER as GROUP, BoundedCache, batched, documents, groups, of_worker, splitter, worker_key
 
-#: Pieces whose ids a worker remembers, in each of two generations.
-REMEMBERED = 160_000
+#: Bytes of pieces and ids, and of pairs of tokens, that a worker remembers, in each of two generations.
+REMEMBERED, PAIRS = 16_000_000, 16_000_000
 #: Longer texts are encoded so many pieces at a time.
 AT_ONCE = 200_000
 
@@ -43,12 +43,13 @@ class PrefixCoder:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {r: t for t, r in ranks.items()}
-        self.longest: dict[bytes, int] = {}  # of the tokens that end with these three bytes
+        self.longest: dict[bytes, int] = {}  # of the tokens that end with these five bytes
         for t in ranks:
-            if len(t) > 2:
-                self.longest[t[-3:]] = max(self.longest.get(t[-3:], 0), len(t))
+            if len(t) > 4:
+                self.longest[t[-5:]] = max(self.longest.get(t[-5:], 0), len(t))
+        self.most = max(map(len, ranks), default=1)
         self.halves: dict[int, tuple[int, int]] = {}  # of merged tokens, as asked for
-        self.beside: dict[tuple[int, int], bool] = BoundedCache(200_000)
+        self.beside: dict[int, bool] = BoundedCache(PAIRS)
 
     def split(self, token: int) -> tuple[int, int] | None:
         """The two tokens that the token was merged from; None for a byte."""
@@ -85,27 +86,26 @@ class PrefixCoder:
                 before, b = b + 1, right[0]
 
     def fits(self, a: int, b: int) -> bool:
-        known = self.beside.get((a, b))
+        known = self.beside.get(a << 32 | b)
         if known is None:
-            known = self.beside.older((a, b))
+            known = self.beside.older(a << 32 | b)
             if known is None:
                 known = self._stays(a, b, len(self.tokens) + 2**31)
-                self.beside.keep((a, b), known)
+                self.beside.keep(a << 32 | b, known)
         return known
 
     def extend(self, piece: bytes, last: list[int]) -> list[int]:
         """Fill ``last`` (which starts as [0]) for the prefixes of ``piece`` that it lacks."""
         get, longest, beside, fits = self.ranks.get, self.longest.get, self.beside.get, self.fits
         for i in range(len(last), len(piece) + 1):
-            most = longest(piece[i - 3 : i], 2) if i > 2 else i
+            most = longest(piece[i - 5 : i], 4) if i > 4 else i
             for start in range(i - most if i > most else 0, i):
                 t = get(piece[start:i])
                 if t is not None:
                     if not start:
                         break
-                    pair = last[start], t
-                    fit = beside(pair)
-                    if fit or fit is None and fits(*pair):
+                    fit = beside(last[start] << 32 | t)
+                    if fit or fit is None and fits(last[start], t):
                         break
             last.append(t)
         return last
@@ -121,6 +121,21 @@ class PrefixCoder:
         whole = self.ranks.get(piece)
         return [whole] if whole is not None else self.read(self.extend(piece, [0]))
 
+    def encode_all(self, pieces):
+        """(piece, ids) of many pieces, sorted: each goes on from the prefix that it shares with the one before."""
+        before, last = b"", [0]
+        for piece in sorted(pieces):
+            whole = self.ranks.get(piece)
+            if whole is not None:
+                yield piece, [whole]
+                continue
+            same, most = 0, min(len(before), len(piece))
+            while same < most and before[same] == piece[same]:
+                same += 1
+            del last[same + 1 :]
+            yield piece, self.read(self.extend(piece, last))
+            before = piece
+
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
@@ -137,9 +152,17 @@ class LivePiece:
         self.coder.extend(self.piece, self.last)
 
     def replace(self, start: int, end: int, new: bytes) -> None:
-        """Prefixes up to ``start`` keep what is stored."""
-        self.piece, self.last = self.piece[:start] + new + self.piece[end:], self.last[: start + 1]
-        self.coder.extend(self.piece, self.last)
+        """Prefixes up to ``start`` keep what is stored. Behind the edit, prefixes are computed until as many in a row as the
+        longest token has bytes are as before: what a prefix ends with depends on no others, so the rest is as before too."""
+        rest, self.piece, self.last = self.last[end + 1 :], self.piece[:start] + new + self.piece[end:], self.last[: start + 1]
+        self.coder.extend(self.piece[: start + len(new)], self.last)
+        same, self.computed = 0, len(self.last)
+        while len(self.last) <= len(self.piece) and same < self.coder.most:
+            at = len(self.last)
+            self.coder.extend(self.piece[:at], self.last)
+            same = same + 1 if self.last[at] == rest[at - start - len(new) - 1] else 0
+        self.computed = len(self.last)
+        self.last += rest[len(self.last) - start - len(new) - 1 :]
 
     @property
     def ids(self) -> list[int]:
@@ -163,26 +186,36 @@ class TextCoder:
         self.splits = splitter(pattern, QUICK) if known else lambda text, p=regex.compile(pattern): p
         self.known: dict[str, bytes] = BoundedCache(remembered)
 
-    def miss(self, piece: str) -> bytes:
-        ids = self.known.older(piece)
-        if ids is None:
-            ids = array("I", self.coder.encode(piece.encode("utf-8"))).tobytes()
+    def table(self, pieces: set[str]) -> dict[str, bytes]:
+        """The packed ids of all these pieces."""
+        get, older, keep = self.known.get, self.known.older, self.known.keep
+        out = {p: get(p) or older(p) for p in pieces}
+        lost = {p.encode("utf-8"): p for p, ids in out.items() if ids is None}
+        for raw, ids in self.coder.encode_all(lost):
+            piece = lost[raw]
+            out[piece] = packed = array("I", ids).tobytes()
             if len(piece) <= 64:
-                self.known.keep(piece, ids)
-        return ids
-
-    def packed(self, text: str):
-        """The ids of the text as 32-bit numbers, many at a time."""
-        get, miss, pattern = self.known.get, self.miss, self.splits(text)
-        if len(text) <= AT_ONCE * 4:
-            yield b"".join([get(p) or miss(p) for p in pattern.findall(text)])
-            return
-        pieces = (m[0] for m in pattern.finditer(text))
+                keep(piece, packed, len(piece) + len(packed))
+        return out
+
+    def packed(self, texts: list[str]):
+        """For each text its ids as 32-bit numbers, in one or more parts."""
+        for some in groups(texts):
+            if len(some) == 1 and len(some[0]) > GROUP:
+                yield self._parts(some[0])
+                continue
+            pieces = [self.splits(t).findall(t) for t in some]
+            of = self.table(set(chain.from_iterable(pieces))).__getitem__
+            for p in pieces:
+                yield (b"".join(map(of, p)),)
+
+    def _parts(self, text: str):
+        pieces = (m[0] for m in self.splits(text).finditer(text))
         while some := list(islice(pieces, AT_ONCE)):
-            yield b"".join([get(p) or miss(p) for p in some])
+            yield b"".join(map(self.table(set(some)).__getitem__, some))
 
     def encode(self, text: str) -> list[int]:
-        return array("I", b"".join(self.packed(text))).tolist()
+        return array("I", b"".join(b"".join(parts) for parts in self.packed([text]))).tolist()
 
 
 def _worker(held, pattern: str, make):
@@ -205,9 +238,9 @@ def _digests(batch, coder: TextCoder, keep: bool) -> dict:
 
     names, tokens = coder.names.__getitem__, coder.coder.tokens.__getitem__
     texts, n, of_ids, of_bytes, offsets, flat = batch.column(1), [], [], [], [0], []
-    for t in texts:
+    for parts in coder.packed(t.as_py() or "" for t in texts):
         ids_sha, bytes_sha, count = hashlib.sha256(), hashlib.sha256(), 0
-        for packed in coder.packed(t.as_py() or ""):
+        for packed in parts:
             if packed:
                 ids = array("I", packed).tolist()
                 ids_sha.update(b" " * bool(count) + " ".join(map(names, ids)).encode())
@@ -232,6 +265,7 @@ def encode(docs: DataFrame, vocab_path: str, pattern: str, text: str = "text", i
     ids decode to. ``vocab_path`` is a file of base64 tokens and ranks on the driver.
     """
     ranks = read_ranks(vocab_path)
+    batched(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast((list(ranks), list(ranks.values())))
     schema = [T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if keep_ids:
@@ -243,6 +277,7 @@ def encode(docs: DataFrame, vocab_path: str, pattern: str, text: str = "text", i
 def decode(encoded: DataFrame, vocab_path: str, ids: str = "ids", id: str = "doc_id") -> DataFrame:
     """doc_id and text of rows with an array of ids (null: null). Ids that are no whole UTF-8 decode with U+FFFD."""
     ranks = read_ranks(vocab_path)
+    batched(encoded.sparkSession)
     held = encoded.sparkSession.sparkContext.broadcast((list(ranks), list(ranks.values())))
 
     def run(batches):

@@ -4,8 +4,9 @@ The pieces are those of a fixed public vocabulary. A language is a probability f
 word's probability is the sum, over every way to cut it into pieces, of the product of their
 probabilities, by the forward algorithm. A text's score for a language is the sum of its words' log
 probabilities and the log of the language's share among the labelled rows. Piece probabilities are
-fitted by expectation maximisation (forward-backward over all segmentations) on the words of a bounded
-sample of labelled rows.
+fitted by expectation maximisation (forward-backward over all segmentations) on all words of a bounded
+sample of labelled rows: for each language, rows by a hash of the id, of about LETTERS characters together. Runs of
+more than TOGETHER letters are fitted in parts of so many; they are scored whole.
 
 Words are the runs of letters of the lower-cased text, with the vocabulary's mark for a word's start.
 A letter that the vocabulary lacks is an unknown piece of small probability in every language.
@@ -18,14 +19,12 @@ are no inputs of a prediction; the id only decides which rows may be learned fro
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._shared import BoundedCache, documents, of_worker, splitter, worker_key
+from ._shared import BoundedCache, batched, documents, groups, of_worker, splitter, worker_key
 
-#: Rows of a language to learn from, about; words of a language to fit.
-ROWS, WORDS = 1500, 15_000
+#: Characters of a language's rows to learn from, about.
+LETTERS = 2_000_000
 #: Rounds of expectation maximisation, and what is added to each piece's expected count.
 ROUNDS, ADDED = 4, 0.05
 #: Times its language's usual (negative) log probability a letter from which a text is strange: letter junk, another language.
@@ -34,8 +33,8 @@ STRANGE = 3.0
 UNKNOWN = 1e-7
 #: Words up to so many letters are scored together; longer ones one by one.
 TOGETHER = 40
-#: Words that a worker remembers, in each of two generations.
-REMEMBERED = 150_000
+#: Bytes of words and scores that a worker remembers, in each of two generations.
+REMEMBERED = 16_000_000
 MARK = "▁"
 
 
@@ -53,34 +52,31 @@ class Lattice:
     """The pieces of words: for each position, which pieces end there and where they start."""
 
     def __init__(self, pieces: list[str]):
-        self.index = {p: i for i, p in enumerate(pieces)}
-        self.unknown = len(pieces)
-        self.longest = max(map(len, pieces), default=1)
-        self.ends: dict[str, int] = {}  # length of the longest piece that ends with these two characters
-        for p in pieces:
-            if len(p) > 1:
-                self.ends[p[-2:]] = max(self.ends.get(p[-2:], 0), len(p))
-
-    def edges(self, words: list[str]):
+        import ahocorasick
+
+        self.unknown, self.longest = len(pieces), max(map(len, pieces), default=1)
+        self.found = ahocorasick.Automaton()
+        for i, p in enumerate(pieces):
+            self.found.add_word(p, i << 8 | len(p))
+        self.found.make_automaton()
+        self.letters = {p for p in pieces if len(p) == 1}
+
+    def edges(self, words: list[str], mark: str = MARK):
         """Arrays (end, word, start, piece) over all the words, ordered by end."""
         import numpy as np
 
-        get, ends, unknown = self.index.get, self.ends.get, self.unknown
-        out: list[int] = []  # end, word, start and piece in one number: 7, 24, 7 and 24 bits
-        add = out.append
-        for w, word in enumerate(words):
-            s = MARK + word
-            for end in range(1, len(s) + 1):
-                most = ends(s[end - 2 : end], 1) if end > 1 else 1
-                here = (end << 24 | w) << 31
-                for start in range(end - most if end > most else 0, end):
-                    p = get(s[start:end])
-                    if p is not None:
-                        add(here | start << 24 | p)
-                    elif start == end - 1:
-                        add(here | start << 24 | unknown)
-        e = np.sort(np.array(out, dtype=np.int64))
-        return e >> 55, e >> 31 & 0xFFFFFF, e >> 24 & 0x7F, e & 0xFFFFFF
+        # no piece has the separator, so one search finds the pieces of all words
+        text = mark + f" {mark}".join(words)
+        hits = np.fromiter((end << 34 | v for end, v in self.found.iter(text)) if len(self.found) else [], np.int64)
+        lone = np.array([i for i, c in enumerate(text) if c not in self.letters and c != " "] if set(text) - self.letters - {" "} else [], dtype=np.int64)
+        first = np.cumsum([0, *[len(w) + len(mark) + 1 for w in words]])
+        at = np.concatenate([hits >> 34, lone]) + 1
+        length = np.concatenate([hits & 0xFF, np.ones(len(lone), np.int64)])
+        piece = np.concatenate([hits >> 8 & 0x3FFFFFF, np.full(len(lone), self.unknown)])
+        word = np.searchsorted(first, at - 1, "right") - 1
+        end = at - first[word]
+        order = np.argsort(end, kind="stable")
+        return end[order], word[order], (end - length)[order], piece[order]
 
 
 def forward(edges, words: int, probability):
@@ -94,9 +90,11 @@ def forward(edges, words: int, probability):
     cuts = np.searchsorted(end, np.arange(size + 2))
     for i in range(1, size + 1):
         a, b = cuts[i], cuts[i + 1]
-        part = alpha[start[a:b], word[a:b]] * probability[piece[a:b]]
-        for k in range(part.shape[1]):
-            alpha[i, :, k] = np.bincount(word[a:b], part[:, k], words)
+        if a < b:
+            part = alpha[start[a:b], word[a:b]] * probability[piece[a:b]]
+            # a word's edges stand together: the words are in order for each end
+            first = np.flatnonzero(np.concatenate(([True], word[a + 1 : b] != word[a : b - 1])))
+            alpha[i, word[a:b][first]] = np.add.reduceat(part, first, axis=0)
     return alpha
 
 
@@ -105,11 +103,12 @@ def log_probabilities(lattice: Lattice, words: list[str], probability):
     import numpy as np
 
     out = np.zeros((len(words), probability.shape[1]))
-    short = [i for i, w in enumerate(words) if len(w) <= TOGETHER]
-    if short:
-        some = [words[i] for i in short]
+    short = sorted((i for i, w in enumerate(words) if len(w) <= TOGETHER), key=lambda i: len(words[i]))
+    for part in range(0, len(short), 4096):  # words of like lengths together
+        at = short[part : part + 4096]
+        some = [words[i] for i in at]
         alpha = forward(lattice.edges(some), len(some), probability)
-        out[short] = np.log(alpha[np.array([len(w) + 1 for w in some]), np.arange(len(some))])
+        out[at] = np.log(alpha[np.array([len(w) + 1 for w in some]), np.arange(len(some))])
     for i, w in enumerate(words):
         if len(w) > TOGETHER:
             out[i] = _long(lattice, w, probability)
@@ -120,22 +119,24 @@ def _long(lattice: Lattice, word: str, probability):
     """The same for one word of any length: only the last positions are kept, rescaled as they shrink."""
     import numpy as np
 
-    s, get, total = MARK + word, lattice.index.get, np.zeros(probability.shape[1])
-    kept = [np.ones(probability.shape[1])]  # alpha of the last positions, the latest last
-    for end in range(1, len(s) + 1):
-        most = lattice.ends.get(s[end - 2 : end], 1) if end > 1 else 1
-        here = np.zeros(probability.shape[1])
-        for start in range(max(0, end - most), end):
-            p = get(s[start:end])
-            if p is None and start == end - 1:
-                p = lattice.unknown
-            if p is not None:
-                here += kept[start - end] * probability[p]
-        kept.append(here)
-        del kept[: -lattice.longest - 1]
-        scale = kept[-1].copy()
-        kept = [x / scale for x in kept]
-        total += np.log(scale)
+    languages = probability.shape[1]
+    total, step = np.zeros(languages), 4096
+    kept = [np.ones(languages)]  # alpha of the last positions, the latest last
+    s, at = MARK + word, 0
+    while at < len(s):
+        # edges of a part, found with the letters before it that a piece may start with
+        before = min(at, lattice.longest - 1)
+        end, _, start, piece = lattice.edges([s[at - before : at + step]], "")
+        cuts = np.searchsorted(end, np.arange(before + step + 2))
+        for i in range(before + 1, min(len(s) - at, step) + before + 1):
+            a, b = cuts[i], cuts[i + 1]
+            here = sum(kept[j - i] * probability[p] for j, p in zip(start[a:b].tolist(), piece[a:b].tolist()))
+            kept.append(here)
+            del kept[: -lattice.longest - 1]
+            scale = here.copy()
+            kept = [x / scale for x in kept]
+            total += np.log(scale)
+        at += step
     return total
 
 
@@ -146,7 +147,11 @@ def fit(lattice: Lattice, counted: dict[str, dict[str, int]], rounds: int = ROUN
     n = lattice.unknown + 1
     out = np.full((n, len(counted)), 1.0 / n)
     for k, words in enumerate(counted.values()):
-        some = {w: c for w, c in words.items() if len(w) <= TOGETHER}
+        some: dict[str, int] = {}
+        for w, c in words.items():
+            for at in range(0, len(w), TOGETHER):
+                part = w[at : at + TOGETHER]
+                some[part] = some.get(part, 0) + c
         if not some:
             continue
         end, word, start, piece = edges = lattice.edges(list(some))
@@ -188,18 +193,18 @@ def held_out(id):
     return F.crc32(id.cast("string").cast("binary")) % 4 == 2
 
 
-def training_words(docs: DataFrame, text: str, lang: str, id: str, rows: int = ROWS, words: int = WORDS) -> tuple[dict[str, dict[str, int]], dict[str, int]]:
+def training_words(docs: DataFrame, text: str, lang: str, id: str, letters_: int = LETTERS) -> tuple[dict[str, dict[str, int]], dict[str, int]]:
     """Word counts of each language's sample, and the number of labelled rows of each language.
 
     The rows are counted over the whole table, and every language is learned; a language's sample takes each of its rows with a
-    chance, by a hash of the id, that makes about ``rows`` of them.
+    chance, by a hash of the id, that makes about ``letters_`` characters.
     """
     may = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~F.coalesce(held_out(F.col(id)), F.lit(False)))
     may = may.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.col(id).alias("id"))
-    sizes = {r["lang"]: r["n"] for r in may.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = may.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("letters")).collect()
     if not sizes:
         return {}, {}
-    chances = docs.sparkSession.createDataFrame([(name, min(1.0, rows / n)) for name, n in sizes.items()], "lang string, chance double")
+    chances = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, letters_ / max(1, r["letters"]))) for r in sizes], "lang string, chance double")
     draw = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
     sample = may.join(F.broadcast(chances), "lang").filter(draw < F.col("chance"))
 
@@ -214,14 +219,11 @@ def training_words(docs: DataFrame, text: str, lang: str, id: str, rows: int = R
                 counts.update((name, w) for w in find(t.as_py()))
         yield pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in counts], pa.string()), "word": pa.array([k[1] for k in counts], pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
 
-    from pyspark.sql import Window as W
-
     counted = sample.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = counted.filter(F.length("word") <= TOGETHER).withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("r") <= words)
-    out: dict[str, dict[str, int]] = {name: {} for name in sorted(sizes)}
-    for r in top.orderBy("lang", F.desc("n"), "word").collect():
+    out: dict[str, dict[str, int]] = {name: {} for name in sorted(r["lang"] for r in sizes)}
+    for r in counted.orderBy("lang", F.desc("n"), "word").toLocalIterator():
         out[r["lang"]][r["word"]] = r["n"]
-    return out, sizes
+    return out, {r["lang"]: r["n"] for r in sizes}
 
 
 def usual(lattice: Lattice, counted: dict[str, dict[str, int]], probability):
@@ -242,41 +244,41 @@ class Scorer:
         self.lattice, self.probability, self.names, self.prior, self.usual = Lattice(pieces), probability, names, prior, usual
         self.words, self.known = letters(), BoundedCache(remembered)
 
-    def scores(self, text: str):
-        """Log score for each language, and the letters with the words' starts; or None for a text without letters."""
+    def table(self, words: set[str]) -> dict[str, bytes]:
+        """Each word's log probabilities, packed."""
+        get, older, keep = self.known.get, self.known.older, self.known.keep
+        out = {w: get(w) or older(w) for w in words}
+        lost = [w for w, r in out.items() if r is None]
+        if lost:
+            found = log_probabilities(self.lattice, lost, self.probability)
+            for w, r in zip(lost, found):
+                out[w] = r = r.tobytes()
+                if len(w) <= TOGETHER:
+                    keep(w, r, len(w) + len(r))
+        return out
+
+    def predict(self, texts):
+        """For each text language, posterior, and how many times the language's usual log probability a letter the text's is."""
+        for some in groups(texts):
+            words = [self.words(t) for t in some]
+            of = self.table({w for x in words for w in x} if self.names else set()).__getitem__
+            for x in words:
+                yield self._best(list(map(of, x)), sum(map(len, x)) + len(x)) if x and self.names else ("und", 0.0, 0.0)
+
+    def _best(self, rows: list[bytes], letters: int) -> tuple[str, float, float]:
         import numpy as np
 
-        words = self.words(text)
-        if not words or not self.names:
-            return None
-        get, older = self.known.get, self.known.older
-        rows = [get(w) or older(w) for w in words]
-        if None in rows:
-            lost = [w for w, r in zip(words, rows) if r is None]
-            new = list(dict.fromkeys(lost))
-            found = dict(zip(new, (x.tobytes() for x in log_probabilities(self.lattice, new, self.probability))))
-            for w, r in found.items():
-                if len(w) <= TOGETHER:
-                    self.known.keep(w, r)
-            rows = [r or found[w] for w, r in zip(words, rows)]
-        return np.frombuffer(b"".join(rows)).reshape(len(rows), -1).sum(axis=0) + self.prior, sum(map(len, words)) + len(words)
-
-    def predict(self, text: str) -> tuple[str, float, float]:
-        """Language, posterior, and how many times the language's usual log probability a letter the text's is."""
-        found = self.scores(text)
-        if found is None:
-            return "und", 0.0, 0.0
-        s, letters = found
+        own = np.frombuffer(b"".join(rows)).reshape(len(rows), -1).sum(axis=0)
+        s = own + self.prior
         best = int(s.argmax())
-        strange = (s[best] - self.prior[best]) / letters / self.usual[best]
-        return self.names[best], float(1 / sum(math.exp(max(-700.0, x - s[best])) for x in s)), float(strange)
+        return self.names[best], float(1 / np.exp(np.maximum(-700.0, s - s[best])).sum()), float(own[best] / letters / self.usual[best])
 
 
-def train(docs: DataFrame, vocab_path: str, text: str = "text", lang: str = "lang", id: str = "doc_id", rows: int = ROWS, words: int = WORDS):
+def train(docs: DataFrame, vocab_path: str, text: str = "text", lang: str = "lang", id: str = "doc_id", letters_: int = LETTERS):
     """(pieces, probability, names, prior, usual): what a Scorer takes."""
     import numpy as np
 
-    counted, sizes = training_words(docs, text, lang, id, rows, words)
+    counted, sizes = training_words(docs, text, lang, id, letters_)
     pieces = vocabulary(vocab_path)
     lattice = Lattice(pieces)
     probability = fit(lattice, counted)
@@ -288,6 +290,7 @@ def identify(docs: DataFrame, vocab_path: str, text: str = "text", lang: str = "
     """doc_id, held_out, lang_pred, score; or the columns ``keep`` with lang_pred, score and strange in front."""
     from pyspark.sql import types as T
 
+    batched(docs.sparkSession)
     key = worker_key("language_id")
     held = docs.sparkSession.sparkContext.broadcast(model or train(docs, vocab_path, text, lang, id))
 
@@ -296,7 +299,7 @@ def identify(docs: DataFrame, vocab_path: str, text: str = "text", lang: str = "
 
         scorer = of_worker(key, lambda: Scorer(*held.value))
         for batch in batches:
-            found = [scorer.predict(t.as_py() or "") for t in batch.column(0)]
+            found = list(scorer.predict(t.as_py() or "" for t in batch.column(0)))
             front = [pa.array([x[0] for x in found], pa.string()), *[pa.array([x[k] for x in found], pa.float64()) for k in (1, 2)]]
             yield pa.RecordBatch.from_arrays([*front, *batch.columns[1:]], names=made.names)
 

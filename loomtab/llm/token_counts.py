@@ -27,8 +27,8 @@ from ._shared import WORD, BoundedCache, documents, of_worker, splitter, worker_
 FREQUENT, LONGEST = 50_000, 32
 #: Counters of each task's summary.
 SLOTS = 4_000
-#: Pre-tokens that a worker remembers, in each of two generations.
-REMEMBERED = 200_000
+#: Bytes of pre-tokens and lengths that a worker remembers, in each of two generations.
+REMEMBERED = 16_000_000
 #: Token count above which ``over_limit`` is true.
 LIMIT = 2048
 #: The pattern of this tokenizer's file, in the syntax of the ``regex`` and the ``re`` module.
@@ -77,7 +77,7 @@ class Lengths:
         found = {p: len(e.ids) for p, e in zip(new, self.library.encode_batch(new, add_special_tokens=False))}
         for p, n in found.items():
             if len(p) <= 64:
-                self.known.keep(p, n)
+                self.known.keep(p, n, len(p))
         return sum(filter(None, lengths)) + sum(map(found.__getitem__, lost))
 
 
