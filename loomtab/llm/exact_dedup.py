@@ -22,6 +22,8 @@ from ._shared import SPACE, documents, free_name, text_or_empty, written
 HEAVY = 512
 #: Counters of the summary: every digest above 1/SLOTS of the rows is found.
 SLOTS = 8192
+#: Bits of the filter of ids that are dropped: 4 MB, whatever the input.
+FILTER = 1 << 25
 
 
 def digest(text):
@@ -74,20 +76,34 @@ def exact_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", heavy:
 def drop_exact_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", heavy: int = HEAVY, slots: int = SLOTS) -> DataFrame:
     """The rows that stay, with all their columns.
 
-    The texts themselves are shuffled once, by digest, without those of the frequent digests.
+    Decided on the slim rows. A filter of the ids that are dropped or repeated (FILTER bits, broadcast) lets the other rows pass
+    where they lie; what it stops is decided by digest, without the rows of frequent digests that are dropped. If the
+    filter is full, more rows are shuffled, and the result is the same.
     """
     digests = slim_rows(docs, text, id)
-    winners = written(heavy_winners(digests, heavy, slots).coalesce(1), "winners")
-    sha, rank = free_name(docs, "sha_"), free_name(docs, "rank_")
+    decided = written(group_rows(digests, heavy, slots), "groups")
+    several = decided.filter("group_size > 1")
+    sha, keep, place, bits, rank = (free_name(docs, x) for x in ("sha_", "keep_", "place_", "bits_", "rank_"))
+    at = F.pmod(F.xxhash64(F.col("id")), F.lit(FILTER)) + 1
+    # of a group of rows with one id all but one are dropped too, so every such id is marked
+    marks = several.filter("at <> keep_at").select(at.alias("p")).groupBy(F.bitmap_bucket_number("p").alias(place)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias(bits))
+    marks = written(marks.coalesce(1), "marks")
+    number = F.pmod(F.xxhash64(F.col(id).cast("long")), F.lit(FILTER)) + 1
+    bit = F.bitmap_bit_position(number)
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = docs.withColumn(place, F.bitmap_bucket_number(number)).join(F.broadcast(marks), place, "left")
+    stopped = F.col(id).isNull() | F.coalesce(F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1, F.lit(False))
+    passed = marked.filter(~stopped).select(*[F.col(f"`{c}`") for c in docs.columns])
     t = text_or_empty(text)
-    full = docs.withColumn(sha, digest(t))
-    won = winners.select(F.col("sha").alias(sha), F.col("keep_id").alias(rank))
-    # several rows can have the winning id: at most the copies of one row, decided by the window below
-    hot = full.join(F.broadcast(won), sha).filter(F.col(id).cast("long").eqNullSafe(F.col(rank)))
-    rest = full.join(F.broadcast(won.select(sha)), sha, "left_anti")
-    both = rest.unionByName(hot.drop(rank))
-    order = W.partitionBy(sha).orderBy(F.desc(F.length(t)), F.asc_nulls_last(F.col(id).cast("long")))
-    return both.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).select(*docs.columns)
+    rest = marked.filter(stopped).drop(place, bits).withColumn(sha, digest(t))
+    own = F.col(id).cast("long")
+    winners = several.filter("at = keep_at").select(F.col("sha").alias(sha), F.col("keep_id").alias(keep), F.lit(True).alias(rank), "group_size")
+    hot = F.broadcast(written(winners.orderBy(F.desc("group_size"), sha).limit(heavy).drop("group_size"), "hot"))
+    rest = rest.join(hot, sha, "left").filter(F.col(rank).isNull() | own.eqNullSafe(F.col(keep))).drop(keep, rank)
+    rest = rest.join(winners.drop("group_size"), sha, "left").filter(F.col(rank).isNull() | own.eqNullSafe(F.col(keep)))
+    first = W.partitionBy(sha).orderBy(F.desc(F.length(t)))
+    rest = rest.withColumn(place, F.row_number().over(first)).filter(F.col(rank).isNull() | (F.col(place) == 1))
+    return passed.unionByName(rest.select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
