@@ -52,6 +52,7 @@ def test_mixing(spark, docs, empty):
     weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
     total = {s: sum(r.size for r in got if source[r.doc_id] == s) for s in names}
     target, open_, budget = {}, set(names), 1.5 * sum(total.values())
+    budget_ = budget
     while open_:
         level = (budget - sum(target.values())) / sum(weight[s] for s in open_)
         full = {s for s in open_ if level * weight[s] > 2 * total[s]}
@@ -63,13 +64,44 @@ def test_mixing(spark, docs, empty):
     for r in got:
         assert r.size == size[r.doc_id] and r.source_size == total[source[r.doc_id]] and r.target == pytest.approx(target[source[r.doc_id]]) and 0 <= r.taken <= 2 * r.size
     for s in names:
-        assert abs(sum(r.taken for r in got if source[r.doc_id] == s) - target[s]) <= 1
+        assert abs(sum(r.taken for r in got if source[r.doc_id] == s) - target[s]) <= mixing.PACKET
+    assert abs(sum(r.taken for r in got) - budget_) <= len(names)
     mixed = mixing.mix(docs, slices=4)
     assert mixed.columns == docs.columns
     assert sum(len(WORDS.findall(r.text)) for r in mixed.collect()) == sum(r.taken for r in got)
     assert mixing.mixture(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
+def test_mixing_takes_a_prefix_of_the_global_order(spark, docs):
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "source")
+    rows = mixing.queued(mixing.slim_rows(real.unionByName(docs.select("doc_id", "text", "source"))))
+    order = lambda r: (r.finish, r.queue, r.end)
+    all_ = sorted(mixing.packets(rows).collect(), key=order)
+    taken = sorted(mixing.taken_prefix(rows, size=100).collect(), key=order)
+    budget = sum(round(r.target) for r in rows.select("queue", "target").distinct().collect())
+    assert 0 < len(taken) < len(all_) and [order(r) for r in taken] == [order(r) for r in all_[: len(taken)]]
+    assert [r.words for r in taken[:-1]] == [r.words for r in all_[: len(taken) - 1]] and 0 < taken[-1].words <= all_[len(taken) - 1].words
+    assert sum(r.words for r in taken) == budget and sum(r.words for r in all_) == 2 * sum(r.words for r in rows.collect())
+
+
+def test_mixing_of_null_and_repeated_rows(spark):
+    rows = [(None, "a b c", "x", 1), (None, "a b c", "x", 2), (1, None, "x", 3), (1, "q", None, 4), (2, " ", "y", 5), (3, "w " * 900, "y", 6), (3, "w " * 900, "y", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, start int")
+    got = mixing.mixture(docs).collect()
+    assert len(got) == len(rows) and abs(sum(r.taken for r in got) - 1.5 * sum(r.size for r in got)) <= 1.5
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and sum(len(WORDS.findall(r.text)) for r in mixed.collect()) == sum(r.taken for r in got)
+    assert {r.text for r in mixing.mix(docs, whole=True).collect()} <= {r[1] for r in rows}
+
+
+def test_exact_dedup_of_null_ids(spark):
+    rows = [(None, "a b", 1), (None, "ab", 2), (1, "a b", 3), (None, "z z", 4), (None, "zz", 5), (None, "alone", 6), (2, None, 7), (3, " ", 8), (4, "x", 9), (4, "x", 10), (4, "x y", 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sha_ int")
+    for heavy in (1, 512):
+        assert sorted((str(r.doc_id), r.text or "") for r in exact_dedup.drop_exact_duplicates(docs, heavy=heavy).collect()) == [("1", "a b"), ("3", " "), ("4", "x"), ("4", "x y"), ("None", "alone"), ("None", "z z")]
+        assert sum(r.kept for r in exact_dedup.exact_groups(docs, heavy=heavy).collect()) == 6
+
+
 def test_pipeline_mixes_whole_documents(spark, docs, empty):
     from collections import Counter
 
@@ -125,6 +157,45 @@ def test_jaccard_join(spark, docs, empty):
     assert jaccard_join.similar_groups(empty).count() == 0
 
 
+def test_sets_that_link_share_a_tile():
+    import numpy as np
+
+    random = np.random.default_rng(1)
+    links = 0
+    for least in (85, 80, 50):
+        tiles = jaccard_join.Tiles(least)
+        for n in (1, 2, 3, 5, 6, 7, 9, 12, 20, 33, 60, 100, 250, 600, 2000):
+            for _ in range(200 if n < 200 else 20):
+                z = np.unique(random.integers(0, 2**64, n, dtype=np.uint64))
+                less, more = random.integers(0, n // 3 + 2, 2)
+                y = np.unique(np.concatenate([np.delete(z, random.choice(n, min(less, n), replace=False)), random.integers(0, 2**64, more, dtype=np.uint64)]))
+                both = len(np.intersect1d(z, y))
+                if len(y) and 100 * both >= least * (len(z) + len(y) - both):
+                    links += 1
+                    assert len(np.intersect1d(tiles(z), tiles(y)))
+    assert links > 2000
+
+
+def test_words_are_hashed_alike_in_pieces(monkeypatch):
+    import numpy as np
+
+    text = " ".join("w" * (k % 37) + str(k * k) for k in range(3000)) + " " + "x" * 5000 + "\tEnd \x85ü"
+    whole = jaccard_join.Sets(4).hashes(text)
+    assert len(whole) == len(WORDS.findall(text))
+    monkeypatch.setattr(jaccard_join, "PIECE", 1000)
+    assert np.array_equal(jaccard_join.Sets(4).hashes(text), whole)
+
+
+def test_jaccard_join_of_null_and_repeated_ids(spark):
+    text = " ".join(f"v{i}" for i in range(60))
+    rows = [(None, text), (1, text), (2, text + " end"), (2, "something else that is here alone"), (3, None), (None, None), (1, text)]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, gone_ int")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.similar_groups(docs).collect()), key=str)
+    assert got == sorted([(None, 57, None), (1, 57, 1), (2, 58, 1), (2, 3, 1), (3, 0, 3), (None, 0, None), (1, 57, 1)], key=str)
+    kept = jaccard_join.keep_one_of_each(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id for r in kept.collect()), key=str) == [1, 1, 3, None, None]
+
+
 def test_jaccard_join_of_an_id_whose_hash_is_0(spark):
     text = " ".join(f"v{i}" for i in range(60))
     docs = spark.createDataFrame([(25317696, text), (25317697, text + " end"), (5, "something else that is here alone")], "doc_id long, text string")
@@ -152,6 +223,26 @@ def test_byte_bpe(docs, empty):
     assert byte_bpe.encode(empty, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
 
 
+def test_byte_bpe_edits_stay_near_the_edit():
+    import random
+
+    import public_tokenizers as P
+    import tiktoken
+
+    ranks = byte_bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    coder = byte_bpe.PrefixCoder(ranks)
+    random.seed(8)
+    letters = b"abcdeinorst"
+    live = byte_bpe.LivePiece(coder, bytes(random.choices(letters, k=3000)))
+    for _ in range(60):
+        start = random.randrange(len(live.piece))
+        live.replace(start, min(len(live.piece), start + random.randrange(6)), bytes(random.choices(letters, k=random.randrange(6))))
+        assert live.ids == library._core_bpe.encode_single_piece(live.piece)
+        assert live.computed <= start + 6 + 400 or start > 2500
+    assert [ids for _, ids in coder.encode_all([b"internation", b"international", b"inter"])] == [library._core_bpe.encode_single_piece(x) for x in (b"inter", b"internation", b"international")]
+
+
 def test_token_counts(spark, docs, empty):
     import public_tokenizers as P
     from tokenizers import Tokenizer
@@ -282,6 +373,13 @@ def test_language_and_quality(spark, docs, empty):
     assert all(0 <= r.score <= 1 for r in quality.classify(docs, labels.limit(0)).collect()) and quality.classify(empty, labels.limit(0)).count() == 0
 
 
+def test_long_runs_of_letters_are_learned():
+    lattice = language_id.Lattice(["▁", "a", "b", "c", "ab", "bc"])
+    p = language_id.fit(lattice, {"x": {"ab" * 300: 1}, "y": {"bc" * 300: 2}, "none": {}})
+    scores = language_id.log_probabilities(lattice, ["abab", "bcbc", "ab" * 3000], p)
+    assert scores[0, 0] > scores[0, 1] and scores[1, 1] > scores[1, 0] and scores[2].argmax() == 0
+
+
 def test_every_language_is_learned(spark):
     names = [f"l{i:03}" for i in range(450)]
     docs = spark.createDataFrame([(i, f"word{i} {n}", n) for i, n in enumerate(names * 2)], "doc_id long, text string, lang string")
@@ -309,7 +407,8 @@ def test_forward_sums_all_segmentations():
 
     import numpy as np
 
-    lattice = language_id.Lattice(["▁", "▁a", "a", "ab", "b", "▁ab"])
+    pieces = ["▁", "▁a", "a", "ab", "b", "▁ab"]
+    lattice, index = language_id.Lattice(pieces), {x: i for i, x in enumerate(pieces)}
     p = np.random.default_rng(1).random((7, 2))
     for word in ("abab", "aab", "bxa", "ab" * 30):
         s = "▁" + word
@@ -318,11 +417,16 @@ def test_forward_sums_all_segmentations():
             for cuts in itertools.product([0, 1], repeat=len(s) - 1):
                 ends = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(s)]
                 parts = [s[a:b] for a, b in zip(ends, ends[1:])]
-                want = want + np.prod([p[lattice.index.get(x, 6)] if x in lattice.index or len(x) == 1 else p[0] * 0 for x in parts], axis=0)
+                want = want + np.prod([p[index.get(x, 6)] if x in index or len(x) == 1 else p[0] * 0 for x in parts], axis=0)
         else:
             want = np.exp(language_id._long(lattice, word, p))
             alpha = language_id.forward(lattice.edges([word]), 1, p)
             assert np.allclose(alpha[len(s), 0], want)
+            # a part's end among the letters, and letters that the vocabulary lacks
+            long = word * 200 + "x" + word
+            parts = language_id._long(lattice, long, p)
+            step = np.log(language_id.forward(lattice.edges(["ab"]), 1, p)[3, 0])
+            assert np.isfinite(parts).all() and (parts < step).all()
             continue
         assert np.allclose(np.exp(language_id.log_probabilities(lattice, [word], p))[0], want)
 
