@@ -282,11 +282,57 @@ def test_personal_data(spark, docs, empty):
     assert [(k, text[int(a) : int(b)]) for k, a, b in spans][:4] == [("email", "a.b@c.com"), ("ip", "10.0.0.1"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (499) 555-6503")]
     assert (got[1].n_email, got[1].n_ip, got[1].n_card, got[1].n_phone) == (1, 1, 1, 1)
     assert got[2].spans == got[3].spans == "" and got[2].base_sha256 == hashlib.sha256(b"").hexdigest()
-    field = personal_data.Field({}, [[0.0] * 5] * 5)
+    field = personal_data.Field({}, [[0.0] * 6] * 6)
     assert (3, text.index("1-499")) in [(k, a) for a, k, _ in field.added(text, personal_data.base_spans(text))]
     assert personal_data.find(docs).count() == docs.count() and personal_data.find(empty).count() == 0
 
 
+def test_personal_data_of_very_long_parts(spark):
+    rows = [(None, "0" * 5000 + ".1.1.1"), (1, "1." * 20_000), (2, "9" * 30_000 + ".1.1.1 @" + "a@" * 10_000), (3, "(" * 20_000 + "0 " * 20_000), (4, "token=" * 5000)]
+    got = {r.doc_id: r for r in personal_data.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[None].n_ip == 1 and got[1].n_ip == 5000 and got[2].n_ip == 0
+
+
+def test_messages_give_marginals():
+    import itertools
+
+    import numpy as np
+
+    random = np.random.default_rng(2)
+    for edges, close in (([(0, 1), (1, 2), (2, 3)], 1e-4), ([(0, 1), (1, 2), (2, 3), (0, 3)], 0.05)):
+        own, pot = random.normal(size=(4, 3)), [random.normal(size=(3, 3)) * (1 if close < 0.01 else 0.5) for _ in edges]
+        want = np.zeros((4, 3))
+        for y in itertools.product(range(3), repeat=4):
+            p = np.exp(sum(own[i, y[i]] for i in range(4)) + sum(w[y[a], y[b]] for (a, b), w in zip(edges, pot)))
+            for i in range(4):
+                want[i, y[i]] += p
+        got = personal_data.beliefs(own, [(a, b, w) for (a, b), w in zip(edges, pot)])
+        assert np.abs(got - want / want.sum(1, keepdims=True)).max() < close
+
+
+def test_personal_data_finds_what_patterns_miss(spark):
+    import random
+
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    field = personal_data.train(real)
+    random.seed(5)
+    found = total = 0
+    for k in range(200):
+        name, number = f"{random.choice(['ann', 'bo', 'cleo'])}.{k}", f"{random.randrange(200, 999)}) 555-{random.randrange(1000, 9999)}"
+        card = next(c for c in (f"{random.randrange(10**15, 10**16)}" for _ in range(1000)) if personal_data.luhn(c))
+        secret = "".join(random.choices("0123456789abcdef", k=40))
+        for first, again in ((f"{name}@mail.example.com", f"{name} [at] mail [dot] example [dot] com"), (f"+1 ({number}", f"1 ({number}"), (f'token = "{secret}"', secret)):
+            text = f"in the and {first} the ing and or her {again} and the other"
+            spans = personal_data.base_spans(text)
+            found += any(a <= text.rindex(again) + 2 < b for a, _, b in field.added(text, spans))
+            total += 1
+        text = f"the and {card} of it"
+        assert personal_data.base_spans(text) and field.added(text, personal_data.base_spans(text)) == []
+    assert found >= 0.9 * total
+    clean = ["In 1987 there were 25 of 300 at 12.30, and 4.0 more (see 2.1).", "word " * 50, "Version 2.0 of 2024-05-06", ""]
+    assert all(field.added(t, []) == [] for t in clean)
+
+
 def test_personal_data_patterns():
     import random
 
