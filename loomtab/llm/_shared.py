@@ -17,19 +17,34 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Folders of our own, by application, where no cluster is there to name one.
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see; one of our own only where the cluster names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder that the driver and all executors see; one of our own only in local mode and where the session names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    kept = spark.sparkContext.getCheckpointDir()
-    if kept:
-        return kept.rstrip("/")
-    import tempfile
+    context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _own:
+        import tempfile
+
+        _own[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='loomtab-')}"
+    return _own[context.applicationId]
+
+
+def _at(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
 
-    made = tempfile.mkdtemp(prefix="loomtab-")
-    spark.sparkContext.setCheckpointDir(made)
-    return f"file://{made}"
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    files, where = _at(spark, path)
+    files.delete(where, True)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -41,9 +56,8 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_dir(spark)}/loomtab-{what}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    files, where = _at(spark, path)
+    files.deleteOnExit(where)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -11,7 +11,8 @@ if undoing their merges, latest first, never shows a pair at the seam that would
 earlier.
 
 Rows: a null text counts as empty; an empty text has no ids, and the digests of the empty string;
-repeated rows give repeated results; an empty table gives an empty result. No row is moved: the scan
+repeated rows give repeated results; a null id stays null; columns of other names are not looked at; very long texts are
+encoded some pieces at a time; an empty table gives an empty result. No row is moved: the scan
 feeds Arrow batches to the encoder, with the ranks (1 MB, a fixed file) broadcast.
 """
 

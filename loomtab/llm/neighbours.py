@@ -17,7 +17,7 @@ is dealt to more tasks by hash, on both sides. Queries that found fewer than k a
 Rows: vectors that are null, empty, all zero, or that hold a null or
 non-finite number, take no part, nor do rows with a null id. Vectors of different lengths are no neighbours: each length has
 tables of its own. Of repeated ids each row counts as a
-candidate of its own, and none for a query of that id. Other columns are not looked at. An empty table gives an empty result.
+candidate of its own, and none for a query of that id; each row of a query's id is a query. Other columns are not looked at. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -303,7 +303,7 @@ def nearest(rows: DataFrame, query, k: int = 5, vector: str = "embedding", id: s
     # a query's vector is asked about once, however many queries have it
     asks = all_.filter(query(F.col("id"))).select(F.col("id").alias("query_id"), "v")
     asked = asks.groupBy("v").agg(F.min("query_id").alias("ask"))
-    asks = written(asks.join(asked, "v").select("query_id", "ask"), "asks")
+    asks = written(asks.join(asked, "v").select("query_id", "ask", F.monotonically_increasing_id().alias("row")), "asks")
     asked = written(asked, "asked").select("ask", "v")
     best = W.partitionBy("ask").orderBy(F.desc("score"), "id")
 
@@ -317,7 +317,7 @@ def nearest(rows: DataFrame, query, k: int = 5, vector: str = "embedding", id: s
     if not short.isEmpty():
         found = found.join(short.select("ask"), "ask", "left_anti").unionByName(searched(short.select("ask", "v"), 1.0))
     out = asks.join(found, "ask").filter(F.col("id") != F.col("query_id"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    rank = F.row_number().over(W.partitionBy("row").orderBy(F.desc("score"), "id"))
     return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 

@@ -9,11 +9,13 @@ scaled to length 1; STATISTICS of its characters, words and lines; and whole-num
 
 Learned from a bounded sample of labelled rows: the SAMPLE rows with the smallest hash of the id among
 those that may be learned from (crc32 of the id as text, mod 4, is not 2; both labels, a text). Their
-features, not their texts, come to the driver.
+features, not their texts, come to the driver: 2^BITS slots each at most, whatever a text's length. If several
+documents have the id, the one of the least features counts, so that reruns learn the same.
 
 Rows: a null text counts as empty; an empty text is scored by its statistics (all 0) alone; null
 metadata counts as 0; without labels every score is 0.5 (predicted 0). If a document has several labels, each
-counts. Repeated rows give repeated results; an empty table gives an empty result.
+counts. Repeated rows give repeated results; a null id is not held out and has no label; columns of other names are not
+looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._shared import documents, of_worker, worker_key
+from ._shared import batched, documents, of_worker, worker_key
 
 #: Labelled rows to learn from, at most.
 SAMPLE = 8000
@@ -68,6 +70,10 @@ def features(text: str, metadata=()) -> tuple:
     mask = (1 << BITS) - 1
     slots = np.fromiter((zlib.crc32(w.encode()) & mask for w in counts), np.int32, len(counts))
     weights = 1 + np.log(np.fromiter(counts.values(), np.float32, len(counts)))
+    if len(slots) > 1 << (BITS - 3):  # in a long text words share slots
+        weights = np.bincount(slots, weights, 1 << BITS).astype(np.float32)
+        slots = np.flatnonzero(weights).astype(np.int32)
+        weights = weights[slots]
     return slots, (weights / math.sqrt(float(weights @ weights))).astype(np.float32), dense
 
 
@@ -155,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc
     import numpy as np
 
     found = rows.select("id_", "label_", "text_", *[f"m{i}" for i in range(len(metadata))]).mapInArrow(run, "id string, label int, parts array<binary>")
-    found = sorted(found.limit(2 * sample).collect(), key=lambda r: (r["id"], r["label"], r["parts"]))
+    found = found.groupBy("id", "label").agg(F.min("parts").alias("parts")).orderBy("id", "label").collect()
     kinds = (np.int32, np.float32, np.float32)
     machine = Machine(len(STATISTICS) + len(metadata))
     return machine.learn([[np.frombuffer(p, k) for p, k in zip(r["parts"], kinds)] for r in found], [r["label"] for r in found])
@@ -163,6 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc
 
 def classify(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "quality", metadata=("n_chars",), threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted."""
+    batched(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(train(docs, labels, text, id, label, metadata, sample))
     key = worker_key("quality")
 

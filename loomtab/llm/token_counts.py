@@ -12,7 +12,8 @@ A word (between the six characters of white space, which no token, normal form o
 is not split here where that is not certain to agree: if it holds a string of a special token (which the
 library's default takes for that token), or a character from U+0250 on (where normal forms and case rules
 come in). It is looked up in tier two as it is; the rest of its text goes through both tiers. A null text counts as empty; an empty text has
-0 bytes and 0 tokens; repeated rows give repeated results; an empty table gives an empty result.
+0 bytes and 0 tokens; repeated rows give repeated results; a null id stays null; columns of other names are not looked at; very
+long texts are counted in stretches; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._shared import WORD, BoundedCache, documents, of_worker, splitter, worker_key
+from ._shared import WORD, BoundedCache, batched, documents, of_worker, splitter, worker_key
 
 #: Entries of the broadcast table, and characters of its longest.
 FREQUENT, LONGEST = 50_000, 32
@@ -132,6 +133,7 @@ def count_tokens(docs: DataFrame, vocab_path: str, text: str = "text", id: str =
     """doc_id, n_bytes, n_tokens, over_limit. ``vocab_path`` is a tokenizer file on the driver."""
     with open(vocab_path, encoding="utf-8") as f:
         file = f.read()
+    batched(docs.sparkSession)
     table = frequent_lengths(docs.select(F.col(text)), file, frequent)
     context, key = docs.sparkSession.sparkContext, worker_key("token_counts")
     held = context.broadcast((file, "\n".join(table), bytes(min(n, 255) for n in table.values())))

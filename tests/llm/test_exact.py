@@ -419,6 +419,50 @@ def test_language_and_quality(spark, docs, empty):
     assert all(0 <= r.score <= 1 for r in quality.classify(docs, labels.limit(0)).collect()) and quality.classify(empty, labels.limit(0)).count() == 0
 
 
+def test_factors_give_the_sum_over_pairs():
+    import numpy as np
+
+    random = np.random.default_rng(3)
+    machine = quality.Machine(4)
+    machine.w[:], machine.bias = random.normal(size=machine.w.shape), 0.3
+    slots, weights, dense = np.array([3, 77, 1200], np.int32), random.random(3).astype(np.float32), random.random(4).astype(np.float32)
+    i, x = np.concatenate([slots, np.arange(machine.first, machine.first + 4)]), np.concatenate([weights, dense])
+    want = machine.bias + machine.w[i] @ x + sum(machine.v[i[a]] @ machine.v[i[b]] * x[a] * x[b] for a in range(7) for b in range(a))
+    assert machine.raw(slots, weights, dense) == pytest.approx(float(want), abs=1e-4)
+
+
+def test_quality_of_odd_rows(spark):
+    good, bad = "the house is near the river and people live there .", "$$ BUY !! NOW $$ 999 !!"
+    rows = [(i, (good if i % 2 else bad) + f" {i}", i) for i in range(400)] + [(1000, None, None), (1001, "", 0), (1002, LONG * 3, -5), (None, good, 1), (1003, "\U0001f600", 2), (1, "again", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").withColumns({"id_": F.lit(1), "text_": F.lit("x"), "m0": F.lit(2)})
+    labels = spark.createDataFrame([(i, i % 2, "y") for i in range(400)] + [(None, 1, ""), (5, 7, ""), (6, None, "")], "doc_id long, quality int, label_ string")
+    first, again = (sorted((str(r.doc_id), r.held_out, r.score, r.predicted) for r in quality.classify(docs, labels).collect()) for _ in range(2))
+    assert first == again and len(first) == len(rows) and all(0 <= r[2] <= 1 and r[3] == (r[2] >= 0.7) for r in first)
+    held = [r for r in first if r[1] and r[0] != "None" and int(r[0]) < 400]
+    assert len(held) > 50 and sum(r[3] == int(r[0]) % 2 for r in held) >= 0.95 * len(held)
+
+
+def test_neighbours_of_odd_vectors(spark):
+    inf, nan = float("inf"), float("nan")
+    vectors = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 1.0]), (3, [inf, 1.0]), (4, [nan, 1.0]), (5, [None, 1.0]), (6, []), (None, [1.0, 0.0]), (7, [1.0, 0.0, 0.0]), (50, [2.0, 0.0, 0.0]), (100, [0.0, 0.0]), (8, [1e200, 1e199])]
+    df = spark.createDataFrame([(i, v, 1, "x") for i, v in vectors], "vec_id long, embedding array<double>, rank int, v string")
+    got = {}
+    for r in sorted(neighbours.nearest(df.filter("vec_id <> 8 or vec_id is null"), lambda i: i % 50 == 0).collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert got == {0: [(1, 1), (1, 1), (2, 2), (2, 2)], 50: [(1, 7)]}
+
+
+def test_folders_of_clusters_are_asked_for(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from loomtab.llm._shared import shared_dir
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="yarn", applicationId="x")
+    with pytest.raises(ValueError):
+        shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))
+    assert shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: "s3://b/c/"), sparkContext=context)) == "s3://b/c"
+
+
 def test_long_runs_of_letters_are_learned():
     lattice = language_id.Lattice(["▁", "a", "b", "c", "ab", "bc"])
     p = language_id.fit(lattice, {"x": {"ab" * 300: 1}, "y": {"bc" * 300: 2}, "none": {}})
