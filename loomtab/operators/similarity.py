@@ -26,10 +26,11 @@ class Dictionary:
     def __post_init__(self):
         if not self.entries:
             raise DictionaryError("the dictionary has no entries")
-        names = [e[0] for e in self.entries]
-        for n in names:
-            if names.count(n) > 1:
+        names: set[str] = set()
+        for n, _ in self.entries:
+            if n in names:
                 raise DictionaryError(f"canonical {n!r} stands twice")
+            names.add(n)
         owner: dict[str, str] = {}
         for name, aliases in self.entries:
             for a in aliases:

@@ -53,8 +53,20 @@ def _with_hits(df: DataFrame, cells: list[tuple[str, Column]], hits: list[Column
 
 
 def apply_named(df: DataFrame, op: Operation) -> DataFrame:
-    """The table with the operation done. Cells are text; a null counts as empty where the operation reads it."""
-    return _named(df, op).select(*[F.col(f"`{c}`") for c in [*df.columns, *op.names]])
+    """The table with the operation done. Cells are text; a null counts as empty where the operation reads it.
+
+    Reading a cell that the operation overwrites fails if its row is in error (matches of two rules that overlap).
+    """
+    return checked(_named(df, op), df.columns, op).select(*[F.col(f"`{c}`") for c in [*df.columns, *op.names]])
+
+
+def checked(done: DataFrame, given: list[str], op: Operation) -> DataFrame:
+    """Applied rows whose overwritten cells and hits raise their row's error."""
+    if not op.cell_error:
+        return done
+    targets = range(len(given)) if op.targets is None else sorted(set(op.targets))
+    fail = F.raise_error(F.concat(F.lit("RuntimeCollision: "), F.col(ERROR)))
+    return done.withColumns({c: F.when(F.col(ERROR).isNull(), F.col(f"`{c}`")).otherwise(fail) for c in [*[given[i] for i in targets], HITS]})
 
 
 def _named(df: DataFrame, op: Operation) -> DataFrame:
@@ -168,7 +180,7 @@ def check_error(m: dict) -> None:
 
 def statistics(df: DataFrame, op: Operation) -> DataFrame:
     """The statistics of a named table as one row, by one aggregation."""
-    m = _named(df, op).agg(*measures(op))
+    m = checked(_named(df, op), df.columns, op).agg(*measures(op))
     n = len(op.rule_ids)
     rules = F.array(*[F.struct(F.lit(id).alias("id"), F.col(f"rows_{k}").alias("rows_affected"), F.when(F.lit(op.counts_matches) & (F.col(f"sum_{k}") > 0), F.col(f"sum_{k}")).alias("matches")) for k, id in enumerate(op.rule_ids)])
     total = _sum([F.col(f"sum_{k}") for k in range(n or 1)])

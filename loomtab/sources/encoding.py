@@ -80,12 +80,12 @@ def guess_delimiter(text: str) -> str:
     """The candidate that gives most of the first 10 lines the same number of columns, of more than one."""
     lines = text.split("\n")
     lines = [x.removesuffix("\r") for x in (lines[:-1] if lines and not lines[-1] else lines)][:10]
-    best, best_score = ",", -1
+    best, most = ",", (0, 0)
     for d in DELIMITERS.values():
         widths = Counter(x.count(d) + 1 for x in lines)
         if not widths:
             break
         width, rows = max(widths.items(), key=lambda w: w[1])  # of equal ones the first seen
-        if width > 1 and (rows, width) > (divmod(best_score, 1000) if best_score >= 0 else (-1, -1)):
-            best, best_score = d, rows * 1000 + width
+        if width > 1 and (rows, width) > most:
+            best, most = d, (rows, width)
     return best

@@ -126,3 +126,61 @@ def test_dry_run_and_arguments(run):
     assert run("a\nx\n", "mask")[0] == 1
     assert run("a\nx\n", "replace", "-c", "a", "--all-columns", "--from", "x", "--to", "y")[0] == 1
     assert run("a\nx\n", "mask", "-c", "a", "--input-encoding", "latin1")[0] == 1
+
+
+def test_overlaps_fail_in_tables_and_streams(spark, tmp_path):
+    from loomtab.operators import replace as R
+    from loomtab.plans.operation import apply_named, statistics
+    from loomtab.streaming.operations import write_stream
+
+    literal = [R.ReplaceRule(from_="ab", to="1"), R.ReplaceRule(from_="bc", to="2")]
+    for rules in (literal, [*literal, R.ReplaceRule(pattern="x+", replacement="", regex=True)]):
+        op = R.replace(["s"], R.compile_rules(rules), ["s", "t"])
+        good, bad = (spark.createDataFrame([(x, "y")], "s string, t string") for x in ("ab bc.ab", "xabc"))
+        assert apply_named(good, op).first()["s"] == "1 2.1" and statistics(good, op).first()["changes_total"] == 3
+        for run in (lambda: apply_named(bad, op).collect(), lambda: statistics(bad, op).collect()):
+            with pytest.raises(Exception, match="RuntimeCollision: column s: matches overlap"):
+                run()
+        bad.write.mode("overwrite").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(bad.schema).parquet(str(tmp_path / "in"))
+        with pytest.raises(Exception, match="RuntimeCollision"):
+            write_stream(stream, op, str(tmp_path / "out"), str(tmp_path / f"check{len(rules)}")).awaitTermination(120)
+
+
+def test_many_literal_rules(spark):
+    import random
+
+    from loomtab.operators import replace as R
+    from loomtab.plans.operation import apply_named, statistics
+
+    random.seed(1)
+    rules = [("東", "$1"), ("ab", "\\"), ("ca", ""), ("d.", "ab"), ("^", "|")]
+    op = R.replace(["s"], R.compile_rules([R.ReplaceRule(from_=a, to=b) for a, b in rules]), ["s"])
+    texts = ["".join(random.choices(["東", "ab", "ca", "d.", "^", "x", "\n", "é"], k=12)) for _ in range(300)] + ["", "none"]
+    texts = [t for t in texts if "cab" not in t]
+    want, total = [], 0
+    for t in texts:
+        out, i = "", 0
+        while i < len(t):
+            a, b = next(((a, b) for a, b in rules if t.startswith(a, i)), (None, None))
+            total += a is not None
+            out, i = (out + b, i + len(a)) if a else (out + t[i], i + 1)
+        want.append(out)
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    assert [r.s for r in apply_named(df, op).collect()] == want and statistics(df, op).first()["changes_total"] == total
+
+
+def test_config_files(run):
+    (run.dir / "dict.csv").write_text("c,a\n静岡,しずおか\n")
+    configs = {
+        "mask": ("columns = [\"b\", 0]\n[options]\nmask_char = \"#\"\n", "a,b\n##,###\n"),
+        "flag": ("[[rules]]\ncolumns = [\"a\", \"b\"]\npattern = \"q\"\nout_col = \"f\"\ntrue_value = \"1\"\nfalse_value = \"0\"\n", "a,b,f\nxy,pqr,1\n"),
+        "extract": ("[[rules]]\ncolumn = \"b\"\npattern = \"[q-r]\"\nout_col = \"e\"\nseparator = \"+\"\n", "a,b,e\nxy,pqr,q+r\n"),
+        "similarity": (f"[[rules]]\ncolumn = \"a\"\ndict = \"{run.dir / 'dict.csv'}\"\nout_col = \"m\"\nscore_col = \"s\"\nalgorithm = \"dice\"\n", "a,b,m,s\nxy,pqr,<no match>,0.0000\n"),
+    }
+    for command, (text, want) in configs.items():
+        config = run.dir / f"{command}.toml"
+        config.write_text("version = 1\n" + text)
+        assert run("a,b\nxy,pqr\n", command, "--config", str(config))[1] == want, command
+        config.write_text(text)
+        assert run("a,b\nxy,pqr\n", command, "--config", str(config))[0] == 1, command
