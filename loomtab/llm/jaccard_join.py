@@ -404,3 +404,18 @@ def keep_one_of_each(docs: DataFrame, text: str = "text", id: str = "doc_id", wo
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(documents(spark, sf_dir))
+
+
+ORACLE = r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) end as s from w),
+g as (select doc_id, len(s) as n, unnest(s) as g from s),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c, any_value(a.n) + any_value(b.n) as n from g a join g b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select a, b from p where 100 * c >= 85 * (n - c)),
+e as (select a, b from l union all select b, a from l),
+r(node, reached) as (select doc_id, doc_id from documents union select r.node, e.b from r join e on r.reached = e.a)
+select doc_id, len(s)::bigint as n_shingles, (select min(reached) from r where node = doc_id) as component_id from s
+"""

@@ -15,7 +15,7 @@ _QUERIES = {
     "op7_language_id": ("language_id", None),
     "op8_nearest_neighbours": ("neighbours", None),
     "op9_byte_bpe": ("byte_bpe", None),
-    "op10_jaccard_join": ("jaccard_join", None),
+    "op10_jaccard_join": ("jaccard_join", "ORACLE"),
 }
 
 
