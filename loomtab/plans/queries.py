@@ -81,6 +81,32 @@ def _jaro_winkler(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_named(df, _similarity("jaro-winkler")(df.columns))
 
 
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_HALF = "".join(map(chr, range(0xFF71, 0xFF71 + 26)))
+_FULL = "アイウエオカキクケコサシスセソタチツテトナニヌネノハ"
+_HIRA, _KATA = ("".join(chr(first + 2 * k) for k in range(26)) for first in (0x3042, 0x30A2))
+
+
+def _written_as(to: str, steps, space: str = " "):
+    """Names with their letters in another script, normalized."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        given = F.replace(F.translate(F.lower("p_name"), _LETTERS, to), F.lit(" "), F.lit(space))
+        return table(spark, sf_dir, "part").select("p_partkey", T.normalize(given, steps).alias("name"))
+
+    return run
+
+
+def _rules(name: str, columns: list[str], make):
+    """The statistics by rule."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = table(spark, sf_dir, name).select(*columns)
+        return statistics(df, make(df.columns)).select(F.explode("per_rule").alias("r")).select("r.id", "r.rows_affected", F.coalesce("r.matches", F.lit(0).cast("long")).alias("matches"))
+
+    return run
+
+
 def _profile(name: str, build):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return table(spark, sf_dir, "documents").select("doc_id", build(F.col("text")).alias(name))
@@ -108,7 +134,7 @@ def _hidden(char: str = "x"):
     return lambda header: basic.mask(["text"], header, char)
 
 
-#: name: (Spark query, SQL or None)
+#: name: (Spark query, SQL or None: DuckDB's Damerau distance lets what was swapped be edited again, and its Jaro similarity rounds half swaps down)
 QUERIES = {
     "mask_customer_name": (_op("customer", ["c_custkey", "c_name"], lambda h: basic.mask(["c_name"], h)), "select c_custkey, repeat('*', length(c_name)::bigint) as c_name from customer"),
     "mask_by_index": (_op("supplier", ["s_suppkey", "s_name"], lambda h: basic.mask([1], h, "#!")), "select s_suppkey, repeat('#', length(s_name)::bigint) as s_name from supplier"),
@@ -138,6 +164,21 @@ QUERIES = {
     "normalize_whitespace": (_normalized(["whitespace"]), "select doc_id, md5(regexp_replace(text, '[\\s\\x{0b}\\x{85}\\p{Z}]', '', 'g')) as h from documents"),
     "normalize_nfkc": (_normalized(["nfkc"]), None),
     "normalize_kana": (_normalized(["fullwidth", "prolonged", "kana"]), "select doc_id, md5(replace(replace(text, chr(8212), chr(12540)), chr(8213), chr(12540))) as h from documents"),
+    "normalize_nfkc_names": (_written_as("".join(chr(ord(c) + 0xFEE0) for c in _LETTERS), ["nfkc"], "\u3000"), "select p_partkey, lower(p_name) as name from part"),
+    "normalize_fullwidth_names": (_written_as(_HALF, ["fullwidth"], "\uff76\uff9e\uff8a\uff9f\uff9e"), f"select p_partkey, replace(translate(lower(p_name), '{_LETTERS}', '{_FULL}'), ' ', 'ガパ゛') as name from part"),
+    "normalize_kana_names": (_written_as(_HIRA, ["kana"]), f"select p_partkey, translate(lower(p_name), '{_LETTERS}', '{_KATA}') as name from part"),
+    "normalize_prolonged_names": (_written_as(_LETTERS, ["prolonged"], "\uff70\u2014\u2015\uff0d"), "select p_partkey, replace(lower(p_name), ' ', 'ーーーー') as name from part"),
+    "flag_classes": (
+        _op("part", ["p_partkey", "p_name", "p_brand"], lambda h: basic.flag([basic.FlagRule(["p_name"], r"[\p{Ll}--aeiou]{5}", "a"), basic.FlagRule(["p_brand"], "[[:digit:]&&[^1-3]]$", "b"), basic.FlagRule(["p_name", "p_brand"], r"\p{Lu}|\x{6d}", "c")], h)),
+        "select p_partkey, p_name, p_brand, case when regexp_matches(p_name, '[b-df-hj-np-tv-z]{5}') then 'true' else 'false' end as a, case when regexp_matches(p_brand, '[04-9]$') then 'true' else 'false' end as b, case when regexp_matches(p_name || p_brand, '[A-Zm]') then 'true' else 'false' end as c from part",
+    ),
+    "extract_classes": (_op("pages", ["page_id", "url"], lambda h: basic.extract([basic.ExtractRule("url", r"[\w--\d]+", "words", "|")], h)), "select page_id, url, array_to_string(regexp_extract_all(url, '[a-zA-Z_]+'), '|') as words from pages"),
+    "replace_literals": (_op("documents", ["doc_id", "text"], lambda h: R.replace(["text"], R.compile_rules([R.ReplaceRule(from_=a, to=b) for a, b in (("x", "1"), ("q", "22"), ("z", ""), ("0", "$"))]), h), _md5("text")), "select doc_id, md5(replace(replace(replace(replace(coalesce(text, ''), 'x', '1'), 'q', '22'), 'z', ''), '0', '$')) as text from documents"),
+    "rule_stats_flag": (_rules("lineitem", ["l_returnflag", "l_linestatus"], lambda h: basic.flag([basic.FlagRule(["l_returnflag"], "A|R", "a"), basic.FlagRule([0, 1], "F", "b")], h)), "select 'a' as id, count_if(l_returnflag in ('A', 'R'))::bigint as rows_affected, 0::bigint as matches from lineitem union all select 'b', count_if(l_linestatus = 'F' or l_returnflag = 'F')::bigint, 0 from lineitem"),
+    "rule_stats_replace": (
+        _rules("documents", ["text"], lambda h: R.replace(["text"], R.compile_rules([R.ReplaceRule("digits", pattern="[0-9]+", replacement="#", regex=True), R.ReplaceRule(from_="the", to="")]), h)),
+        "select 'rule[0] \"digits\"' as id, count_if(regexp_matches(text, '[0-9]'))::bigint as rows_affected, sum(len(regexp_extract_all(coalesce(text, ''), '[0-9]+')))::bigint as matches from documents union all select 'rule[1]', count_if(contains(text, 'the'))::bigint, sum(len(regexp_extract_all(coalesce(text, ''), 'the')))::bigint from documents",
+    ),
     "line_ending_profile": (_profile("ending", info.line_ending_of), "select doc_id, case when instr(text, chr(13) || chr(10)) > 0 and regexp_matches(text, '(^|[^\\r])\\n') then 'mixed' when instr(text, chr(13) || chr(10)) > 0 then 'crlf' when instr(text, chr(10)) > 0 then 'lf' else 'none' end as ending from documents"),
     "delimiter_profile": (_profile("delimiter", info.delimiter_of), _delimiter_sql()),
     "stats_flag": (_stats("lineitem", ["l_returnflag", "l_linestatus"], lambda h: basic.flag([basic.FlagRule(["l_returnflag"], "A|R", "a"), basic.FlagRule([0, 1], "F", "b")], h)), "select count(*) as rows_processed, count_if(l_returnflag in ('A', 'R') or l_linestatus = 'F')::bigint as rows_changed, (count_if(l_returnflag in ('A', 'R')) + count_if(l_linestatus = 'F' or l_returnflag = 'F'))::bigint as changes_total from lineitem"),
