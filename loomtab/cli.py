@@ -5,13 +5,13 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from .functions.text import DEFAULT_STEPS
 from .operators import basic, info, replace, similarity
 from .plans import config
 from .plans.model import ConfigError, EngineError, Stats, parse_column, parse_columns
-from .plans.operation import Operation, apply_ragged, check_error, collected, observed
+from .plans.operation import NOTES, Operation, apply_ragged, check_error, collected, observed
 from .sources.encoding import delimiter, encoding_name
 from .sources.files import probe, read_rows, write_rows
 
@@ -25,15 +25,29 @@ def run_file(spark: SparkSession, build, input: str, output: str, encoding: str
     op: Operation = build(p.header)
     rows = read_rows(spark, input, p.encoding, sep, has_header)
     applied = apply_ragged(rows, op, p.header)
+    noted, all_ = Observation(), applied
+    if op.notes is not None:
+        applied = applied.observe(noted, F.count_if(F.size(NOTES) > 0).alias("n"))
     if dry_run:
         applied, watch = observed(applied, op, ragged=True)
         applied.write.format("noop").mode("overwrite").save()
         check_error(watch.get)
+        say(all_, op, noted)
         return collected(op, watch.get)
     if p.mixed:
         print("warning: line endings are mixed; all become CRLF", file=sys.stderr)
     header = None if p.header is None else [*p.header, *op.names]
-    return collected(op, write_rows(applied, output, header, p.encoding, sep, p.crlf))
+    m = write_rows(applied, output, header, p.encoding, sep, p.crlf, len(op.rule_ids))
+    say(all_, op, noted)
+    return collected(op, m)
+
+
+def say(applied: DataFrame, op: Operation, noted: Observation) -> None:
+    """A line for each row and rule with a tie; looked for again only if there are any."""
+    if op.notes is not None and noted.get["n"]:
+        for r in applied.filter(F.size(NOTES) > 0).select("row", NOTES).toLocalIterator():
+            for name in r[NOTES]:
+                print(f"warning: row {r['row']} ({name}) has a tie; the first in the dictionary wins", file=sys.stderr)
 
 
 def convert_file(spark: SparkSession, input: str, output: str, encoding: str = "utf-8", to: str = "utf-8", sep: str = ",", to_sep: str = ",") -> Stats:

@@ -122,5 +122,6 @@ def similarity(rules: list[SimilarityRule], header: list[str] | None) -> Operati
         prepare=prepare,
         append=append,
         row_hits=lambda cell: [F.when(F.col(name("best", k))["score"] >= r.threshold, 1).otherwise(0) for k, r in enumerate(rules)],
+        notes=F.filter(F.array(*[F.when(F.col(name("best", k))["tie"], F.lit(r.out_col)) for k, r in enumerate(rules)]), lambda x: x.isNotNull()),
         rule_ids=[r.out_col for r in rules],
     )

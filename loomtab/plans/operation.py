@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from .model import EngineError, IndexOutOfRange, RuleStat, RuntimeCollision, Stats
 
-HITS, ERROR = "__hits", "__error"
+HITS, ERROR, NOTES = "__hits", "__error", "__notes"
 
 
 @dataclass
@@ -39,6 +39,8 @@ class Operation:
     cell_error: Callable[[Column], Column] | None = None
     #: The same as ``overwrite``, hits and error of one cell in Python, where columns cannot say it inside an array.
     in_python: Callable[[str], tuple] | None = None
+    #: What is to be said of a row, as an array of texts (rows of files only).
+    notes: Column | None = None
     rule_ids: list[str] = field(default_factory=list)
     #: Whether a rule's number of matches is reported, beside its rows.
     counts_matches: bool = False
@@ -49,7 +51,7 @@ def _sum(columns: list[Column]) -> Column:
 
 
 def _with_hits(df: DataFrame, cells: list[tuple[str, Column]], hits: list[Column], op: Operation, error: Column) -> DataFrame:
-    return df.select(*[c.alias(n) for n, c in cells], F.array(*[h.cast("long") for h in hits]).alias(HITS) if hits else F.array().cast("array<bigint>").alias(HITS), error.alias(ERROR))
+    return df.select(*[c.alias(n) for n, c in cells], F.array(*[h.cast("long") for h in hits]).alias(HITS) if hits else F.array().cast("array<bigint>").alias(HITS), error.alias(ERROR), *([] if op.notes is None else [op.notes.alias(NOTES)]))
 
 
 def apply_named(df: DataFrame, op: Operation) -> DataFrame:

@@ -52,9 +52,9 @@ def detect_file(raw: bytes) -> str:
     return detect(head)[0]
 
 
-def decode(raw: bytes, encoding: str, strict: bool = True) -> str:
-    """Text without a byte-order mark; malformed bytes are an error, or U+FFFD if not strict."""
-    if raw.startswith(codecs.BOM_UTF8) and encoding == "utf-8":
+def decode(raw: bytes, encoding: str, strict: bool = True, bom: bool = True) -> str:
+    """Text without a byte-order mark (unless ``bom`` is false); malformed bytes are an error, or U+FFFD if not strict."""
+    if bom and raw.startswith(codecs.BOM_UTF8) and encoding == "utf-8":
         raw = raw[3:]
     try:
         return raw.decode(CODECS[encoding], "strict" if strict else "replace")
