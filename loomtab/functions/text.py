@@ -96,16 +96,32 @@ def _pairs(c: Column) -> Column:
     return F.when(F.char_length(c) < 2, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.char_length(c) - 1), lambda i: F.substring(c, i, F.lit(2))))
 
 
-def _count(of: Column, x: Column) -> Column:
-    return F.size(F.filter(of, lambda y: y == x))
+def numbered_pairs(c: Column) -> Column:
+    """The pairs of neighbouring characters, each with the number of equal ones before it: their set is the multiset of pairs."""
+    numbered = lambda x: F.transform(x, lambda p, i: F.concat(p, F.size(F.filter(F.slice(x, 1, i), lambda y: y == p)).cast("string")))
+    of = lambda x: F.when(F.size(F.array_distinct(x)) == F.size(x), F.transform(x, lambda p: F.concat(p, F.lit("0")))).otherwise(numbered(x))
+    return F.get(F.transform(F.array(_pairs(c)), of), F.lit(0))
+
+
+def numbered_pairs_of(text: str) -> list[str]:
+    """The same of one string on the driver."""
+    out: dict[str, int] = {}
+    found = []
+    for pair in map("".join, zip(text, text[1:])):
+        found.append(f"{pair}{out.get(pair, 0)}")
+        out[pair] = out.get(pair, 0) + 1
+    return found
+
+
+def dice_of_pairs(a: Column, b: Column, x: Column, y: Column) -> Column:
+    """Dice's coefficient of two texts with their numbered pairs."""
+    score = F.lit(2.0) * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y))
+    return F.when(a == b, F.lit(1.0)).when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(score)
 
 
 def dice_similarity(a: Column, b: Column) -> Column:
     """Twice the common pairs of neighbouring characters (counted with repeats) over all pairs."""
-    x, y = _pairs(a), _pairs(b)
-    common = F.aggregate(F.transform(F.array_distinct(x), lambda p: F.least(_count(x, p), _count(y, p))), F.lit(0), lambda s, n: s + n)
-    score = F.lit(2.0) * common / (F.size(x) + F.size(y))
-    return F.when(a == b, F.lit(1.0)).when((F.char_length(a) < 2) | (F.char_length(b) < 2), F.lit(0.0)).otherwise(score)
+    return dice_of_pairs(a, b, numbered_pairs(a), numbered_pairs(b))
 
 
 def osa_distance(a: str, b: str) -> int:

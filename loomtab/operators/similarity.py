@@ -60,9 +60,13 @@ def best_match(text: Column, dictionary: Dictionary, algorithm: str = "levenshte
     names = [e[0] for e in dictionary.entries]
     if algorithm in ("damerau", "jaro-winkler"):
         return _by_row(some, names, T.damerau if algorithm == "damerau" else T.jaro_winkler)(text)
-    literal = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(-k).alias("o"), F.lit(e).alias("e")) for k, (c, e) in enumerate(some)])
+    dice = algorithm == "dice"
+    strings = lambda x: F.array(*map(F.lit, x)).cast("array<string>")
+    literal = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(-k).alias("o"), F.lit(e).alias("e"), *([strings(T.numbered_pairs_of(c)).alias("p")] if dice else [])) for k, (c, e) in enumerate(some)])
     let = lambda v, body: F.get(F.transform(F.array(v), body), F.lit(0))
-    scored = let(text, lambda x: F.transform(literal, lambda d: F.struct(metric(x, d["c"]).alias("score"), d["o"].alias("o"), d["e"].alias("e"))))
+    score = (lambda x, d: T.dice_of_pairs(x["t"], d["c"], x["p"], d["p"])) if dice else (lambda x, d: metric(x["t"], d["c"]))
+    given = F.struct(text.alias("t"), *([T.numbered_pairs(text).alias("p")] if dice else []))
+    scored = let(given, lambda x: F.transform(literal, lambda d: F.struct(score(x, d).alias("score"), d["o"].alias("o"), d["e"].alias("e"))))
     entry = F.array(*map(F.lit, names))
 
     def chosen(all_):

@@ -24,8 +24,8 @@ def run(spark, tmp_path, capsys):
 
 
 def test_mask(run):
-    code, out, said, _ = run("氏名,年齢\n田中😀,30\n,5\n", "mask", "-c", "氏名")
-    assert (code, out) == (0, "氏名,年齢\n***,30\n,5\n")
+    code, out, said, _ = run("名前,年齢\n佐藤😀,30\n,5\n", "mask", "-c", "名前")
+    assert (code, out) == (0, "名前,年齢\n***,30\n,5\n")
     assert said == "処理行数: 2\nヒット行数: 1\nヒット総数: 1\n"
 
 
@@ -41,9 +41,9 @@ def test_crlf_quotes_and_lines(run):
 
 
 def test_shift_jis(run):
-    raw = "氏名,年齢\n田中,3\n".encode("cp932")
-    assert run(raw, "mask", "-c", "氏名")[:2] == (1, None)
-    assert run(raw, "mask", "-c", "氏名", "--input-encoding", "auto", encoding="cp932")[1] == "氏名,年齢\n**,3\n"
+    raw = "名前,年齢\n佐藤,3\n".encode("cp932")
+    assert run(raw, "mask", "-c", "名前")[:2] == (1, None)
+    assert run(raw, "mask", "-c", "名前", "--input-encoding", "auto", encoding="cp932")[1] == "名前,年齢\n**,3\n"
 
 
 def test_replace_one(run):
@@ -55,9 +55,9 @@ def test_replace_one(run):
 
 def test_replace_many_without_chaining(run):
     config = run.dir / "r.toml"
-    config.write_text('version=1\n[[rules]]\nfrom="未対応"\nto="対応中"\n[[rules]]\nname="x"\npattern="完+"\nreplacement=""\nregex=true\n[[rules]]\nfrom="none"\nto=""\n')
-    code, out, said, _ = run("s\n未対応完完対応中\n対応中\n", "replace", "-c", "s", "--config", str(config))
-    assert out == "s\n対応中対応中\n対応中\n"
+    config.write_text('version=1\n[[rules]]\nfrom="未着手"\nto="作業中"\n[[rules]]\nname="x"\npattern="完+"\nreplacement=""\nregex=true\n[[rules]]\nfrom="none"\nto=""\n')
+    code, out, said, _ = run("s\n未着手完完作業中\n作業中\n", "replace", "-c", "s", "--config", str(config))
+    assert out == "s\n作業中作業中\n作業中\n"
     assert 'rule[1] "x": ヒット 1 行 / マッチ 1 件' in said and "rule[2]: ヒット 0 行\n" in said
 
 
@@ -81,24 +81,24 @@ def test_flag(run):
 
 
 def test_extract(run):
-    assert run("b\na1b22c333\nx\n", "extract", "-c", "b", "--pattern", r"\d+", "--out-col", "n", "--separator", ";")[1] == "b,n\na1b22c333,1;22;333\nx,\n"
+    assert run("b\nk7m80n901\nx\n", "extract", "-c", "b", "--pattern", r"\d+", "--out-col", "n", "--separator", ";")[1] == "b,n\nk7m80n901,7;80;901\nx,\n"
     assert run("b\nk=1 k\n", "extract", "-c", "b", "--pattern", "k(=1)?", "--out-col", "n")[1] == 'b,n\nk=1 k,"=1,k"\n'
 
 
 def test_split(run):
-    code, out, said, _ = run("n\n田中 太郎\n一\na b c\n", "split", "-c", "n", "--by", " ", "--out-cols", "x,y")
-    assert out == "n,x,y\n田中 太郎,田中,太郎\n一,一,\na b c,a,b c\n" and "ヒット総数: 2" in said
+    code, out, said, _ = run("n\n森 花子\n一\na b c\n", "split", "-c", "n", "--by", " ", "--out-cols", "x,y")
+    assert out == "n,x,y\n森 花子,森,花子\n一,一,\na b c,a,b c\n" and "ヒット総数: 2" in said
     assert run("n\n", "split", "-c", "n", "--by", " ", "--out-cols", "x,y")[1] == "n,x,y\n"
     assert run("n\na.b\n", "split", "-c", "n", "--by", ".", "--out-cols", "x")[1] == "n,x\na.b,a.b\n"
 
 
 def test_similarity(run):
     d = run.dir / "d.csv"
-    d.write_text("c,a\n東京都,東京\n大阪府,大阪\n")
-    assert run("id,n\n1,東京\n2,xyz\n", "similarity", "-c", "n", "--dict", str(d))[1] == "id,n,matched_name,score\n1,東京,東京都,1.0000\n2,xyz,<no match>,0.0000\n"
-    d.write_text("c\nあいうえお\n")
+    d.write_text("c,a\n静岡県,静岡\n長野県,長野\n")
+    assert run("id,n\n1,静岡\n2,xyz\n", "similarity", "-c", "n", "--dict", str(d))[1] == "id,n,matched_name,score\n1,静岡,静岡県,1.0000\n2,xyz,<no match>,0.0000\n"
+    d.write_text("c\nさしすせそ\n")
     for algorithm, score in (("levenshtein", "0.6000"), ("damerau", "0.8000")):
-        assert run("n\nあいえうお\n", "similarity", "-c", "n", "--dict", str(d), "--algorithm", algorithm)[1].endswith(f"{score}\n")
+        assert run("n\nさしせすそ\n", "similarity", "-c", "n", "--dict", str(d), "--algorithm", algorithm)[1].endswith(f"{score}\n")
     t = run.dir / "d.toml"
     t.write_text('version = 1\n[[entries]]\ncanonical = "AAA"\n[[entries]]\ncanonical = "BBB"\naliases = ["b"]\n')
     assert run("n\nxxx\n", "similarity", "-c", "n", "--dict", str(t), "--threshold", "0")[1] == "n,matched_name,score\nxxx,AAA,0.0000\n"
@@ -110,7 +110,7 @@ def test_similarity(run):
 def test_convert(run):
     code, out, said, _ = run('﻿a,b\n"x,1","l\nm"\n', "convert", "--output-delimiter", "tab")
     assert out == 'a\tb\nx,1\t"l\nm"\n' and "処理行数: 2" in said
-    assert run("氏名\n😀\n", "convert", "--output-encoding", "shift_jis")[:2] == (1, None)
+    assert run("名前\n😀\n", "convert", "--output-encoding", "shift_jis")[:2] == (1, None)
     assert run("①,東\n", "convert", "--output-encoding", "euc-jp", encoding="utf-8")[0] == 1
 
 
