@@ -79,11 +79,11 @@ def batched(spark: SparkSession) -> None:
 TOGETHER = 1 << 18
 
 
-def groups(texts):
-    """Lists of consecutive texts of TOGETHER characters at most, or of one longer text."""
+def groups(texts, most: int = TOGETHER):
+    """Lists of consecutive texts of so many characters at most, or of one longer text."""
     some, held = [], 0
     for t in texts:
-        if some and held + len(t) > TOGETHER:
+        if some and held + len(t) > most:
             yield some
             some, held = [], 0
         some.append(t)

@@ -25,12 +25,12 @@ from itertools import chain, islice
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ._shared import TOGETHER as GROUP, BoundedCache, batched, documents, groups, of_worker, splitter, worker_key
+from ._shared import BoundedCache, batched, documents, groups, of_worker, splitter, worker_key
 
 #: Bytes of pieces and ids, and of pairs of tokens, that a worker remembers, in each of two generations.
-REMEMBERED, PAIRS = 16_000_000, 16_000_000
-#: Longer texts are encoded so many pieces at a time.
-AT_ONCE = 200_000
+REMEMBERED, PAIRS = 80_000_000, 64_000_000
+#: Characters of texts that are encoded together; longer texts are encoded so many pieces at a time.
+GROUP, AT_ONCE = 1 << 19, 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -201,7 +201,7 @@ class TextCoder:
 
     def packed(self, texts: list[str]):
         """For each text its ids as 32-bit numbers, in one or more parts."""
-        for some in groups(texts):
+        for some in groups(texts, GROUP):
             if len(some) == 1 and len(some[0]) > GROUP:
                 yield self._parts(some[0])
                 continue

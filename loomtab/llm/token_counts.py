@@ -29,7 +29,7 @@ FREQUENT, LONGEST = 50_000, 32
 #: Counters of each task's summary.
 SLOTS = 4_000
 #: Bytes of pre-tokens and lengths that a worker remembers, in each of two generations.
-REMEMBERED = 16_000_000
+REMEMBERED = 60_000_000
 #: Token count above which ``over_limit`` is true.
 LIMIT = 2048
 #: The pattern of this tokenizer's file, in the syntax of the ``regex`` and the ``re`` module.
